@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellforge.llm import seen
+from cellforge.llm import sampling, seen
 from cellforge.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,4 +65,31 @@ def p1_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+
+# -- problem 3: samples with target shares
+
+_NEEDS_SQL = """SELECT plan_id, dataset_id, max_dimension, has_hole, available, CASE WHEN min_rows > rows THEN min_rows ELSE rows END AS need FROM (
+    SELECT t.*, coalesce(a.n, 0) AS available, CAST(ceil(sample_size * CASE share_unit WHEN 'fraction' THEN target_share
+        WHEN 'percent' THEN target_share / 100 ELSE target_share / sum(target_share) OVER (PARTITION BY plan_id) END - 1e-9) AS BIGINT) AS rows
+    FROM sample_targets t LEFT JOIN (SELECT dataset_id, max_dimension, has_hole, count(DISTINCT cells) AS n FROM shapes GROUP BY ALL) a
+    USING (dataset_id, max_dimension, has_hole))"""
+
+
+@query("p3_found", f"SELECT plan_id, max_dimension, CAST(has_hole AS INTEGER) AS has_hole FROM ({_NEEDS_SQL}) WHERE need > available")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    found = sampling.report(table(spark, d, "sample_targets"), table(spark, d, "shapes")).where("short")
+    return found.select("plan_id", "max_dimension", F.col("has_hole").cast("int").alias("has_hole"))
+
+
+@query("p3_report")
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every category's target, what was available, and what the sample reaches."""
+    return sampling.report(table(spark, d, "sample_targets"), table(spark, d, "shapes"))
+
+
+@query("p3_sample")
+def p3_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.draw(table(spark, d, "sample_targets"), table(spark, d, "shapes"))
+
+
 __all__ = ["QUERIES", "SQL", "cut"]
