@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellforge.llm import sampling, seen
+from cellforge.llm import leaks, sampling, seen
 from cellforge.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,4 +92,28 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw(table(spark, d, "sample_targets"), table(spark, d, "shapes"))
 
 
+
+# -- problem 7: evaluation texts in training text
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+@query("p7_leaks")
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+@query("p7_items")
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every test item and how far it leaked."""
+    return leaks.leaked_items(_leaks(spark, d), table(spark, d, "eval_items"))
+
+
 __all__ = ["QUERIES", "SQL", "cut"]
