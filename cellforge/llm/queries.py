@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellforge.llm import leaks, sampling, seen
+from cellforge.llm import leaks, sampling, seen, subset
 from cellforge.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,24 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+# -- problem 4: a varied subset
+
+
+@query(
+    "p4_found",
+    """SELECT a.landmark_id FROM landmarks a JOIN landmarks b ON a.dataset_id = b.dataset_id AND a.landmark_id <> b.landmark_id
+    AND bit_count(xor(a.mask, b.mask)) <= 2 GROUP BY a.landmark_id HAVING count(*) >= 8""",
+)
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return subset.crowded(table(spark, d, "landmarks")).select("landmark_id").distinct()
+
+
+@query("p4_subset")
+def p4_subset(spark: SparkSession, d: str) -> DataFrame:
+    """A tenth of each export's landmarks."""
+    return subset.varied(table(spark, d, "landmarks"))
+
+
 # -- problem 7: evaluation texts in training text
 
 
