@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellforge.llm import leaks, sampling, seen, subset
+from cellforge.llm import leaks, pii, sampling, seen, subset
 from cellforge.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,4 +134,21 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(_leaks(spark, d), table(spark, d, "eval_items"))
 
 
+
+# -- problem 9: personal information
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return pii.find(documents, pii.fitted(documents)).select("doc_id", "pii_type", "pii_text").distinct()
+
+
+@query("p9_redacted")
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text with placeholders."""
+    documents = table(spark, d, "documents")
+    return pii.redact(documents, pii.fitted(documents))
+
+
 __all__ = ["QUERIES", "SQL", "cut"]
