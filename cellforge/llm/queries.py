@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellforge.llm import leaks, pii, sampling, seen, subset
+from cellforge.llm import leaks, mixing, pii, sampling, seen, subset
 from cellforge.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,34 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+# -- problem 8: mixing sources to target weights
+
+
+def _mixing(spark: SparkSession, d: str) -> tuple[DataFrame, list[str], DataFrame, mixing.Fit]:
+    sized, known = mixing.measured(table(spark, d, "documents"))
+    targets = table(spark, d, "mix_targets")
+    return sized, known, targets, mixing.fitted(sized, known, targets)
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_mixing(spark, d)).where("short").select("mix_id", "source")
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that every mix reaches."""
+    return mixing.report(*_mixing(spark, d))
+
+
+@query("p8_mix")
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every mix's documents and how often each is used."""
+    sized, known, _, fit = _mixing(spark, d)
+    return mixing.mix(sized, known, fit)
+
+
+
 # -- problem 9: personal information
 
 
