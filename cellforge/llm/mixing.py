@@ -17,6 +17,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellforge.llm.fitting import bounded
 from cellforge.session import cut
 
 #: A byte-level BPE's vocabulary as ranks; a parameter of everything that counts tokens.
@@ -78,7 +79,7 @@ def fit(rows: np.ndarray, labels: list[str], rounds: int = 80, rate: float = 4.0
 def classifier(documents: DataFrame, enc: tiktoken.Encoding, most: int = FIT_DOCUMENTS) -> Classifier:
     """Fitted on at most ``most`` documents with a source, chosen by the hash of their id."""
     labelled = documents.where(F.col("src").isNotNull() & (F.length("text") <= FIT_CHARS))
-    sample = labelled.select(F.xxhash64("doc_id").alias("h"), "text", "site", "src").orderBy("h", "src").limit(most).collect()
+    sample = bounded(labelled.select("doc_id", "text", "site", "src"), "doc_id", most).collect()
     rows = np.stack([vector(enc.encode_ordinary(r["text"]), r["site"]) for r in sample]) if sample else np.zeros((0, _FEATURES), np.float32)
     return fit(rows, [r["src"] for r in sample])
 
