@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellforge.operators import drift, heavy, tablediff
+from cellforge.functions import geometry as g, render, wide
+from cellforge.operators import drift, heavy, shapes as sh, tablediff
 from cellforge.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +145,318 @@ def p6_table(spark: SparkSession, d: str) -> DataFrame:
 def p6_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every change with the keys and types before and after."""
     return drift.changes(cut(_manifest_table(spark, d)), "series_id", ["written_at", "file_id"])
+
+
+# -- shapes: geometry of every record
+
+#: The cells of every record, and their place in the tight box.
+_BITS = """WITH bits AS (SELECT {id} AS id, i // 8 AS r, i % 8 AS c FROM {tbl}, range(64) t(i) WHERE ({mask} >> i) & 1 = 1),
+box AS (SELECT id, min(r) AS r0, min(c) AS c0, CAST(max(r) - min(r) + 1 AS INTEGER) AS h, CAST(max(c) - min(c) + 1 AS INTEGER) AS w, count(*) AS n FROM bits GROUP BY id),
+norm AS (SELECT id, r - r0 AS r, c - c0 AS c, w, h, n FROM bits JOIN box USING (id)),
+turns AS (SELECT id, w, h, n, sum(CAST(1 AS HUGEINT) << CAST(8 * r + c AS INTEGER)) AS m0, sum(CAST(1 AS HUGEINT) << CAST(8 * c + h - 1 - r AS INTEGER)) AS m1,
+    sum(CAST(1 AS HUGEINT) << CAST(8 * (h - 1 - r) + w - 1 - c AS INTEGER)) AS m2, sum(CAST(1 AS HUGEINT) << CAST(8 * (w - 1 - c) + r AS INTEGER)) AS m3 FROM norm GROUP BY ALL)
+"""
+_EULER = """, corners AS (SELECT id, count(*) AS v FROM (SELECT DISTINCT id, r + dr AS y, c + dc AS x FROM bits, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dr, dc)) GROUP BY id),
+edges AS (SELECT id, count(*) AS e FROM (SELECT DISTINCT id, k, r + dr AS y, c + dc AS x FROM bits, (VALUES (0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 0, 1)) d(k, dr, dc)) GROUP BY id),
+chi AS (SELECT id, CAST(v - e + n AS INTEGER) AS chi FROM corners JOIN edges USING (id) JOIN box USING (id))
+"""
+_SIGNED = "CAST(CASE WHEN {0} >= 9223372036854775808 THEN {0} - 18446744073709551616 ELSE {0} END AS BIGINT)"
+
+
+def _bits(tbl: str = "shapes", row: str = "record_id", mask: str = "cells") -> str:
+    return _BITS.format(tbl=tbl, id=row, mask=mask)
+
+
+def _masks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "shapes").select("record_id", "dataset_id", F.col("cells").alias("mask")).where("mask is not null")
+
+
+@query("shape_box", _bits() + "SELECT id AS record_id, w, h, CAST(n AS INTEGER) AS size FROM box")
+def shape_box(spark: SparkSession, d: str) -> DataFrame:
+    return g.with_box(_masks(spark, d).where("mask <> 0")).select("record_id", "w", "h", g.size(F.col("mask")).alias("size"))
+
+
+@query(
+    "shape_turns",
+    _bits() + "SELECT id AS record_id, " + ", ".join(f"{_SIGNED.format(m)} AS {n}" for m, n in (("m0", "normal"), ("m1", "m90"), ("m2", "m180"), ("m3", "m270"), ("least(m0, m1, m2, m3)", "canonical"))) + " FROM turns",
+)
+def shape_turns(spark: SparkSession, d: str) -> DataFrame:
+    return g.with_canonical(_masks(spark, d).where("mask <> 0")).select("record_id", "normal", "m90", "m180", "m270", "canonical")
+
+
+@query(
+    "shape_symmetry",
+    _bits()
+    + """SELECT id AS record_id, w = h AND m0 = m1 AS s90, m0 = m2 AS s180, CASE WHEN w = h AND m0 = m1 THEN 1 WHEN m0 = m2 THEN 2 ELSE 4 END AS weight,
+    greatest(w, h) AS max_dim, m0 = least(m0, m1, m2, m3) AS is_canonical FROM turns""",
+)
+def shape_symmetry(spark: SparkSession, d: str) -> DataFrame:
+    shaped = g.with_canonical(_masks(spark, d).where("mask <> 0"))
+    return shaped.select("record_id", "s90", "s180", "weight", "max_dim", (F.col("normal") == F.col("canonical")).alias("is_canonical"))
+
+
+@query("shape_euler", _bits() + _EULER + "SELECT id AS record_id, chi, 1 - chi AS holes FROM chi")
+def shape_euler(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("mask")
+    return _masks(spark, d).where("mask <> 0").select("record_id", g.euler(m).alias("chi"), g.holes(m).alias("holes"))
+
+
+@query("shape_holes", _bits() + _EULER + "SELECT id AS record_id, TRUE AS connected, chi <= 0 AS has_hole FROM chi")
+def shape_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Connectivity and holes by flooding; the SQL counts corners and edges."""
+    m = F.col("mask")
+    return _masks(spark, d).where("mask <> 0").select("record_id", g.connected(m).alias("connected"), g.has_hole_by_flood(m).alias("has_hole"))
+
+
+@query(
+    "shape_frontier",
+    _bits()
+    + """, around AS (SELECT DISTINCT id, r + dr AS r, c + dc AS c FROM bits, (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dr, dc) WHERE r + dr BETWEEN 0 AND 7 AND c + dc BETWEEN 0 AND 7)
+    SELECT id AS record_id, CAST(count(*) AS INTEGER) AS n_open FROM around ANTI JOIN bits USING (id, r, c) GROUP BY id""",
+)
+def shape_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """How many empty neighbours a shape has within the 8 x 8 board."""
+    found = _masks(spark, d).where("mask <> 0").select("record_id", g.size(g.frontier(F.col("mask"))).alias("n_open"))
+    return found.where("n_open > 0")
+
+
+@query(
+    "shape_text",
+    _bits()
+    + """SELECT id AS record_id, '[size=' || n || ' ' || w || 'x' || h || '] ' || string_agg('(' || c || ',' || r || ')', ' ' ORDER BY r, c) AS text FROM norm GROUP BY id, n, w, h""",
+)
+def shape_text(spark: SparkSession, d: str) -> DataFrame:
+    shaped = g.with_normal(_masks(spark, d).where("mask <> 0"))
+    return shaped.select("record_id", render.as_text(F.col("normal"), F.col("w"), F.col("h")).alias("text"))
+
+
+@query(
+    "shape_picture",
+    _bits()
+    + """, lines AS (SELECT b.id, y.r, string_agg(CASE WHEN s.id IS NULL THEN '  ' ELSE '██' END, '' ORDER BY x.c) AS line FROM box b, range(8) y(r), range(8) x(c)
+        LEFT JOIN norm s ON s.id = b.id AND s.r = y.r AND s.c = x.c WHERE y.r < b.h AND x.c < b.w GROUP BY b.id, y.r)
+    SELECT id AS record_id, string_agg(line, chr(10) ORDER BY r DESC) AS picture FROM lines GROUP BY id""",
+)
+def shape_picture(spark: SparkSession, d: str) -> DataFrame:
+    shaped = g.with_normal(_masks(spark, d).where("mask <> 0"))
+    return shaped.select("record_id", render.as_picture(F.col("normal"), F.col("w"), F.col("h")).alias("picture"))
+
+
+@query(
+    "shape_hex",
+    "SELECT record_id, " + " || ".join(f"printf('%02x', (cells >> {8 * i}) & 255)" for i in range(8)) + " AS record FROM shapes WHERE cells IS NOT NULL",
+)
+def shape_hex(spark: SparkSession, d: str) -> DataFrame:
+    """The stored form of every mask: 8 bytes, little-endian."""
+    return _masks(spark, d).select("record_id", g.to_hex(F.col("mask")).alias("record"))
+
+
+_WIDE = """WITH bits AS (SELECT s.record_id, (8 * i + k) // d.stride AS r, (8 * i + k) % d.stride AS c FROM shapes s JOIN datasets d USING (dataset_id), range(2000) t(i), range(8) u(k)
+    WHERE s.wide_cells IS NOT NULL AND i < length(s.wide_cells) // 2 AND (CAST('0x' || substr(s.wide_cells, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) >> CAST(k AS INTEGER)) & 1 = 1)"""
+
+
+@query(
+    "wide_shapes",
+    _WIDE
+    + """, box AS (SELECT record_id, CAST(max(c) - min(c) + 1 AS INTEGER) AS w, CAST(max(r) - min(r) + 1 AS INTEGER) AS h, CAST(count(*) AS INTEGER) AS size FROM bits GROUP BY record_id),
+    corners AS (SELECT record_id, count(*) AS v FROM (SELECT DISTINCT record_id, r + dr AS y, c + dc AS x FROM bits, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dr, dc)) GROUP BY record_id),
+    edges AS (SELECT record_id, count(*) AS e FROM (SELECT DISTINCT record_id, k, r + dr AS y, c + dc AS x FROM bits, (VALUES (0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 0, 1)) d(k, dr, dc)) GROUP BY record_id)
+    SELECT record_id, w, h, size, CAST(v - e + size AS INTEGER) AS chi FROM box JOIN corners USING (record_id) JOIN edges USING (record_id)""",
+)
+def wide_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Box, size and Euler number of the shapes of wider exports."""
+    exports = table(spark, d, "datasets").select("dataset_id", "stride")
+    rows = table(spark, d, "shapes").where("wide_cells is not null").select("record_id", "dataset_id", "wide_cells").join(exports, "dataset_id")
+    at = rows.withColumn("at", wide.cells(F.col("wide_cells"), F.col("stride")))
+    return at.select("record_id", wide.extent(F.col("at"), "col").alias("w"), wide.extent(F.col("at"), "row").alias("h"), F.size("at").alias("size"), wide.euler(F.col("at")).alias("chi"))
+
+
+# -- shapes: counting
+
+_CLASSES = (
+    _bits()
+    + """, least4 AS (SELECT DISTINCT least(m0, m1, m2, m3) AS m, CASE WHEN w = h AND m0 = m1 THEN 1 WHEN m0 = m2 THEN 2 ELSE 4 END AS weight,
+        m0 = m2 AS s180, w = h AND m0 = m1 AS s90, greatest(w, h) AS max_dim, min(id) OVER (PARTITION BY least(m0, m1, m2, m3)) AS id FROM turns)"""
+    + _EULER
+    + """, kinds AS (SELECT l.*, chi <= 0 AS hole FROM least4 l JOIN chi USING (id)),
+    bins AS (SELECT max_dim, hole, count(*) AS one_sided, CAST(sum(weight) AS BIGINT) AS fixed, CAST(sum(CASE WHEN s180 THEN weight ELSE 0 END) AS BIGINT) AS sym180,
+        CAST(sum(CASE WHEN s90 THEN weight ELSE 0 END) AS BIGINT) AS sym90 FROM kinds GROUP BY ALL)"""
+)
+
+
+def _bins(spark: SparkSession, d: str) -> DataFrame:
+    return sh.bins(sh.one_sided(_masks(spark, d)))
+
+
+@query("count_bins", _CLASSES + " SELECT * FROM bins")
+def count_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct logged shapes per longest side and hole."""
+    return _bins(spark, d)
+
+
+@query(
+    "count_cumulative",
+    _CLASSES
+    + """ SELECT max_dim AS n, hole, CAST(sum(one_sided) OVER w AS BIGINT) AS one_sided, CAST(sum(fixed) OVER w AS BIGINT) AS fixed, CAST(sum(sym180) OVER w AS BIGINT) AS sym180,
+    CAST(sum(sym90) OVER w AS BIGINT) AS sym90 FROM bins WINDOW w AS (PARTITION BY hole ORDER BY max_dim)""",
+)
+def count_cumulative(spark: SparkSession, d: str) -> DataFrame:
+    return sh.cumulative(_bins(spark, d))
+
+
+@query("count_burnside", _CLASSES + " SELECT max_dim, hole, one_sided AS burnside FROM bins")
+def count_burnside(spark: SparkSession, d: str) -> DataFrame:
+    """The one-sided counts from fixed and symmetric ones; the SQL counts the shapes themselves."""
+    return _bins(spark, d).select("max_dim", "hole", sh.burnside(F.col("fixed"), F.col("sym180"), F.col("sym90")).alias("burnside"))
+
+
+@query(
+    "duplicates",
+    """SELECT dataset_id, cells, count(*) AS copies, min(record_id) AS first_row, count(*) - 1 AS findings FROM shapes
+    WHERE dataset_id IS NOT NULL AND cells IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
+)
+def duplicates(spark: SparkSession, d: str) -> DataFrame:
+    return sh.duplicates(table(spark, d, "shapes").select("dataset_id", "cells", "record_id"), ["dataset_id", "cells"], "record_id")
+
+
+@query(
+    "duplicates_top",
+    """SELECT dataset_id, cells, count(*) AS copies, min(record_id) AS first_row, count(*) - 1 AS findings FROM shapes
+    WHERE dataset_id IS NOT NULL AND cells IS NOT NULL GROUP BY ALL HAVING count(*) > 1 ORDER BY copies DESC, first_row LIMIT 100""",
+)
+def duplicates_top(spark: SparkSession, d: str) -> DataFrame:
+    """The first hundred findings, most copies first."""
+    return duplicates(spark, d).orderBy(F.desc("copies"), "first_row").limit(100)
+
+
+_INDEX_SQL = """SELECT record_id, has_hole, max_dimension, cells, row_number() OVER (ORDER BY has_hole, max_dimension, cells, record_id) - 1 AS global_index
+    FROM shapes WHERE cells IS NOT NULL AND has_hole IS NOT NULL AND max_dimension IS NOT NULL"""
+
+
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "shapes").select("record_id", "has_hole", "max_dimension", "cells").dropna()
+    return sh.indexed(rows, ["has_hole", "max_dimension", "cells", "record_id"])
+
+
+@query("global_index", _INDEX_SQL)
+def global_index(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's place in stream order: class, longest side, mask."""
+    return _indexed(spark, d)
+
+
+@query("index_range", f"SELECT record_id, has_hole, max_dimension, cells, global_index FROM ({_INDEX_SQL}) WHERE global_index BETWEEN 99 AND 4999 AND has_hole = FALSE")
+def index_range(spark: SparkSession, d: str) -> DataFrame:
+    """Records 100 to 5000, then those without holes."""
+    return sh.index_range(_indexed(spark, d), 100, 5000).where(~F.col("has_hole"))
+
+
+# -- checks
+
+_CHECK = (
+    _bits()
+    + _EULER
+    + f""", facts AS (SELECT s.*, s.cells <> 0 AS not_empty, {_SIGNED.format("t.m0")} = s.cells AS at_origin, t.w = s.w AS w_right, t.h = s.h AS h_right, t.n = s.size AS size_right,
+    greatest(t.w, t.h) = s.max_dimension AS max_dim_right, TRUE AS connected, {_SIGNED.format("least(t.m0, t.m1, t.m2, t.m3)")} = s.cells AS canonical_right,
+    (c.chi <= 0) = s.has_hole AS hole_right, TRUE AS flood_agrees FROM shapes s JOIN turns t ON s.record_id = t.id JOIN chi c ON c.id = t.id)"""
+)
+
+
+@query(
+    "verify_exports",
+    _CHECK
+    + " SELECT dataset_id, count(*) AS n_records, "
+    + ", ".join(f"count(*) FILTER (NOT {r}) AS bad_{r}" for r in sh.RULES)
+    + " FROM facts GROUP BY dataset_id",
+)
+def verify_exports(spark: SparkSession, d: str) -> DataFrame:
+    """Per export how many records break each rule of the format."""
+    rows = table(spark, d, "shapes").where("cells is not null").select("dataset_id", "record_id", "cells", "w", "h", "size", "max_dimension", "has_hole")
+    return sh.verdict(sh.checked(rows, "cells", "w", "h", "size", "max_dimension", "has_hole"), ["dataset_id"])
+
+
+@query(
+    "export_layouts",
+    """SELECT dataset_id, stride = greatest(8, max_n) AS stride_right, record_bytes = greatest(8, CAST(ceil(max_n * greatest(8, max_n) / 8.0) AS INTEGER)) AS bytes_right,
+    encoding = CASE WHEN format_version = 3 THEN 'uint-le-fixed' ELSE 'u64-le-stride8' END AS encoding_right, coalesce(complete, FALSE) AS complete FROM datasets""",
+)
+def export_layouts(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each export's stride, record width and encoding are those of its side and version."""
+    stride, record = sh.layout(F.col("max_n"))
+    right = F.when(F.col("format_version") == 3, "uint-le-fixed").otherwise("u64-le-stride8")
+    return table(spark, d, "datasets").select(
+        "dataset_id", (F.col("stride") == stride).alias("stride_right"), (F.col("record_bytes") == record).alias("bytes_right"),
+        (F.col("encoding") == right).alias("encoding_right"), F.coalesce("complete", F.lit(False)).alias("complete"),
+    )
+
+
+_PATH_SQL = sh.STREAM_PATH
+
+
+@query(
+    "stream_faults",
+    f"""SELECT stream_id, NOT coalesce(ok, FALSE) AS bad_path, coalesce(ok, FALSE) AND side <> lpad(CAST(CAST(side AS INTEGER) AS VARCHAR), CAST(greatest(2, length(CAST(CAST(side AS INTEGER) AS VARCHAR))) AS INTEGER), '0') AS bad_padding,
+    coalesce(ok, FALSE) AND NOT coalesce(CAST(side AS INTEGER) = max_dimension, FALSE) AS bad_side,
+    coalesce(ok, FALSE) AND NOT coalesce((kind = 'with_holes') = has_hole, FALSE) AS bad_class,
+    NOT coalesce(regexp_matches(record_count, '^[1-9][0-9]*$'), FALSE) AS bad_count, n > 1 AS repeated
+    FROM (SELECT *, regexp_matches(stream_path, '{_PATH_SQL}') AS ok, nullif(regexp_extract(stream_path, '{_PATH_SQL}', 2), '') AS side, regexp_extract(stream_path, '{_PATH_SQL}', 1) AS kind,
+        count(*) OVER (PARTITION BY dataset_id, max_dimension, has_hole) AS n FROM streams)""",
+)
+def stream_faults(spark: SparkSession, d: str) -> DataFrame:
+    return sh.stream_faults(table(spark, d, "streams"))
+
+
+@query(
+    "stream_totals",
+    """SELECT d.dataset_id, try_cast(d.record_count AS BIGINT) AS declared, sum(try_cast(s.record_count AS BIGINT))::BIGINT AS in_streams, count(s.stream_id) AS n_streams,
+    try_cast(d.record_count AS BIGINT) = sum(try_cast(s.record_count AS BIGINT)) AS agrees FROM datasets d LEFT JOIN streams s USING (dataset_id) GROUP BY d.dataset_id, d.record_count""",
+)
+def stream_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Each export's declared count against the sum of its streams'."""
+    streams = table(spark, d, "streams").groupBy("dataset_id").agg(F.sum(F.col("record_count").try_cast("bigint")).alias("in_streams"), F.count("stream_id").alias("n_streams"))
+    both = table(spark, d, "datasets").select("dataset_id", F.col("record_count").try_cast("bigint").alias("declared")).join(streams, "dataset_id", "left")
+    return both.select("dataset_id", "declared", "in_streams", F.coalesce("n_streams", F.lit(0)).alias("n_streams"), (F.col("declared") == F.col("in_streams")).alias("agrees"))
+
+
+# -- landmarks
+
+
+@query(
+    "landmark_check",
+    """SELECT dataset_id, count(*) AS n_landmarks, count(*) FILTER (hit) AS n_found, count(*) FILTER (NOT hit) AS n_missing
+    FROM (SELECT l.dataset_id, EXISTS (SELECT 1 FROM shapes s WHERE s.dataset_id = l.dataset_id AND s.cells = l.mask) AS hit FROM landmarks l WHERE mask IS NOT NULL) GROUP BY dataset_id""",
+)
+def landmark_check(spark: SparkSession, d: str) -> DataFrame:
+    return sh.landmark_check(table(spark, d, "landmarks"), table(spark, d, "shapes").select("dataset_id", "cells"))
+
+
+_LANDMARK = _bits("landmarks", "landmark_id", "mask") + _EULER
+
+
+@query(
+    "landmark_summary",
+    _LANDMARK
+    + """SELECT label, count(*) AS n, round(avg(b.n), 1) AS avg_size, count(*) FILTER (chi <= 0) AS n_holes, round(count(*) FILTER (chi <= 0) * 100 / count(*), 1) AS hole_percent,
+    CAST(min(b.n) AS INTEGER) AS min_size, CAST(max(b.n) AS INTEGER) AS max_size, min(w) AS min_w, max(w) AS max_w, min(h) AS min_h, max(h) AS max_h
+    FROM landmarks l JOIN box b ON l.landmark_id = b.id JOIN chi USING (id) GROUP BY label""",
+)
+def landmark_summary(spark: SparkSession, d: str) -> DataFrame:
+    return sh.landmark_summary(table(spark, d, "landmarks"), ["label"])
+
+
+@query(
+    "landmark_totals",
+    _LANDMARK
+    + """SELECT count(*) AS n, round(avg(b.n), 1) AS avg_size, count(*) FILTER (chi <= 0) AS n_holes, round(count(*) FILTER (chi <= 0) * 100 / count(*), 1) AS hole_percent,
+    CAST(min(b.n) AS INTEGER) AS min_size, CAST(max(b.n) AS INTEGER) AS max_size, min(w) AS min_w, max(w) AS max_w, min(h) AS min_h, max(h) AS max_h FROM box b JOIN chi USING (id)""",
+)
+def landmark_totals(spark: SparkSession, d: str) -> DataFrame:
+    return sh.landmark_summary(table(spark, d, "landmarks"), [])
+
+
+@query(
+    "landmark_histogram",
+    """SELECT label, size, n, repeat('█', CAST(greatest(1, n * 40 // max(n) OVER (PARTITION BY label)) AS INTEGER)) AS bar
+    FROM (SELECT label, CAST(bit_count(mask) AS INTEGER) AS size, count(*) AS n FROM landmarks WHERE mask IS NOT NULL GROUP BY ALL)""",
+)
+def landmark_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return sh.histogram(table(spark, d, "landmarks"), "label")
