@@ -89,6 +89,12 @@ def _trailing(byte: Column) -> Column:
     return F.when(byte == 0, 0).otherwise(F.bit_count(land(byte, -byte) - 1))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows; filters that follow stay above. Pushed below, a filter on a computed column would take its whole
+    computation along, once for every mention, and masks mention themselves often."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def with_box(df: DataFrame, mask: str = "mask") -> DataFrame:
     """Adds ``min_row``, ``min_col``, ``w``, ``h``: the tight box; (0, 0) wide for no cells."""
     bits = df.withColumns({"__cols": column_bits(F.col(mask)), "__rows": row_bits(F.col(mask))})
@@ -236,7 +242,7 @@ def grown(df: DataFrame, mask: str = "mask", n: int = SIDE) -> DataFrame:
     at = open_.withColumn("i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("open"), i) == 1)))
     whole = at.withColumn("new", F.col("moved").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("i"))))
     out = with_normal(whole.drop("min_row", "min_col", "w", "h"), "new", "grown")
-    return out.where((F.col("w") <= n) & (F.col("h") <= n)).drop("dr", "dc", "moved", "open", "i", "new", "min_row", "min_col")
+    return settled(out.select(*df.columns, "w", "h", "grown")).where((F.col("w") <= n) & (F.col("h") <= n))
 
 
 def to_hex(mask: Column) -> Column:
