@@ -109,7 +109,10 @@ def flood(keys: list[tuple[str, str]], rounds: int = 40, eps: float = 1e-4) -> n
         of_target = (has[:, :, None] * word[None, :, :]).max(axis=1) @ needs.T
         return (of_key + of_target) / sizes
 
-    first = 0.85 * named(word0) + 0.15 * fit
+    # a key is taken for one of the other targets on all of its words only, else for the field first
+    share = named(word0)
+    other = np.array([t not in FIELDS for t in _TARGET_NAMES])
+    first = (0.85 * share + 0.15 * fit) * np.where(other[None, :] & (share < 0.999), 0.75, 1.0)
     score, word = first.copy(), word0.copy()
     for _ in range(rounds):
         # a pair of words is fed by the pairs of keys that have them, and the other way round
@@ -117,7 +120,7 @@ def flood(keys: list[tuple[str, str]], rounds: int = 40, eps: float = 1e-4) -> n
         # a nested key takes over nothing of what its parent already carries
         fed = named(word) + 0.15 * fit - 0.6 * parent @ score
         new_word = word0 + 0.25 * fed_words * word0
-        new = first + 0.5 * np.maximum(fed, 0)
+        new = first + 0.5 * np.maximum(fed, 0) * np.where(other[None, :] & (share < 0.999), 0.75, 1.0)
         new, new_word = new / max(new.max(), 1e-9), new_word / max(new_word.max(), 1e-9)
         moved = np.abs(new - score).max()
         score, word = new, new_word

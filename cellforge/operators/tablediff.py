@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BUCKET_ROWS = 100_000
 
 #: Blanks, and the signs that only group digits.
-_GROUPING = "[\\\\s\\u00a0\\u202f\\u2009,_'’]"
+_GROUPING = r"[\s\u00a0\u202f\u2009,_'’]"
 
 
 def as_number(col: Column) -> Column:
@@ -30,8 +30,8 @@ def as_number(col: Column) -> Column:
     minus = F.when(bare.startswith("-") & (whole != "0"), "-").otherwise("")
     fraction = F.regexp_replace(F.regexp_replace(bare, r"^([+-]?)0*(?=\d)", "$1"), r"(\.\d*?)0+$", "$1")
     plain = F.when(whole != "", F.concat(minus, whole))
-    scientific = F.when(bare.rlike(r"^[+-]?\d+(\.\d+)?[eE][+-]?\d{1,2}$"), F.try_to_number(F.lit(None).cast("string"), F.lit("9")).cast("string"))
-    return F.coalesce(plain, scientific, F.when(bare.rlike(r"^[+-]?\d+\.\d+$"), F.regexp_replace(fraction, r"^\+", "")), F.trim(col.cast("string")))
+    exponent = F.when(bare.rlike(r"^[+-]?\d+(\.\d+)?[eE][+-]?\d{1,2}$"), bare.try_cast("double").try_cast("decimal(38,0)").cast("string"))
+    return F.coalesce(plain, exponent, F.when(bare.rlike(r"^[+-]?\d+\.\d+$"), F.regexp_replace(fraction, r"^\+", "")), F.trim(col.cast("string")))
 
 
 def as_path(col: Column) -> Column:
