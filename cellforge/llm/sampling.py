@@ -97,6 +97,12 @@ def rake(share: np.ndarray, available: np.ndarray, margins: list[np.ndarray], si
     extra = x - floor
     if extra.sum() > lacking > 0:
         extra *= lacking / extra.sum()
+    for _ in x:  # what the margins leave open goes to all that have rows left
+        room, left = available - floor - extra, lacking - extra.sum()
+        part = want * (room > _EPS)
+        if left <= _EPS or part.sum() <= 0:
+            break
+        extra += np.minimum(room, left * part / part.sum())
     return floor + extra
 
 
@@ -104,8 +110,8 @@ def whole(x: np.ndarray, caps: np.ndarray) -> np.ndarray:
     """Whole numbers near ``x`` with its rounded sum, none over ``caps``: largest remainders first."""
     base = np.minimum(np.floor(x + _EPS), caps).astype(np.int64)
     left = int(round(x.sum())) - int(base.sum())
-    for i in np.argsort(-(x - base), kind="stable")[: max(0, left)]:
-        base[i] += base[i] < caps[i]
+    for i in [i for i in np.argsort(-(x - base), kind="stable") if base[i] < caps[i]][: max(0, left)]:
+        base[i] += 1
     return base
 
 

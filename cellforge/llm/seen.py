@@ -200,9 +200,8 @@ def _probe(bits: int, batch_rows: int) -> Callable[[Iterator[pa.RecordBatch]], I
 def seen_before(df: DataFrame, keys: list[str], order: str, *, fingerprint_bits: int = 64, partition_keys: int = PARTITION_KEYS, batch_rows: int = BATCH_ROWS, rows: int | None = None) -> DataFrame:
     """For each row with a key: ``row_id`` (its ``order`` value) and whether its key came at a smaller ``order`` value.
 
-    Rows with a null in ``keys`` or in ``order`` have no key or no place and give no row. Rows equal in key and order give
-    one row; rows equal in order but not in key give one each, and none of them counts as earlier than
-    another. Keys of any length are hashed whole. An empty table gives an empty result. Columns not named aren't read, so clashing
+    Rows with a null in ``keys`` or in ``order`` have no key or no place and give no row. Rows equal in order don't count as earlier than
+    one another; those equal in key too all get the same answer, in one row or several. Keys of any length are hashed whole. An empty table gives an empty result. Columns not named aren't read, so clashing
     names don't matter. ``rows`` is a known row count, else it is counted.
 
     A key is told apart by ``fingerprint_bits`` bits of its hash. A key that is new is called seen with a
