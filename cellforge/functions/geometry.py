@@ -1,14 +1,17 @@
 """Column expressions on masks of stride 8: bit 8 * row + column of a bigint, read as unsigned.
 
 Every function takes and returns Columns that stay inside whole-stage code generation, except the two
-floods, which are bounded folds. A null mask gives null.
+floods, which run on Arrow batches. A null mask gives null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SIDE = 8
 _TOP = -(1 << 63)
@@ -207,21 +210,48 @@ def holes(mask: Column) -> Column:
     return 1 - euler(mask)
 
 
-def _flood(seed: Column, inside: Column, steps: int) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), seed, lambda a, _: land(beside(a), inside))
+def _spread(seed: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Floods each board from its seed until nothing moves; boards that are done drop out."""
+    now, open_ = seed & inside, np.arange(len(seed))
+    one, row = np.uint64(1), np.uint64(SIDE)
+    not_last, not_first = (np.uint64(x & (2**64 - 1)) for x in (_NOT_LAST, _NOT_FIRST))
+    while len(open_):
+        x = now[open_]
+        new = (x | (x & not_last) << one | (x & not_first) >> one | x << row | x >> row) & inside[open_]
+        moved = new != x
+        now[open_] = new
+        open_ = open_[moved]
+    return now
 
 
-def connected(mask: Column, steps: int = 32) -> Column:
-    """Whether all cells hang together by their sides. ``steps``: the longest way in cells; 32 suffices on 8 x 8."""
-    lowest = F.when(mask == _TOP, mask).otherwise(land(mask, -mask))  # the negative of the top bit alone would overflow
-    return (mask != 0) & (_flood(lowest, mask, steps) == mask)
+def _boards(masks: pa.Array) -> np.ndarray:
+    return pc.fill_null(masks, 0).to_numpy(zero_copy_only=False).view(np.uint64)
 
 
-def has_hole_by_flood(mask: Column, steps: int = 40) -> Column:
+def _connected(masks: pa.Array) -> pa.Array:
+    m = _boards(masks)
+    lowest = m & (~m + np.uint64(1))
+    return pc.if_else(masks.is_valid(), pa.array((m != 0) & (_spread(lowest, m) == m)), None)
+
+
+def _holed(masks: pa.Array) -> pa.Array:
+    empty = ~_boards(masks)
+    rim = np.full(len(empty), places(lambda r, c: r in (0, SIDE - 1) or c in (0, SIDE - 1)) & (2**64 - 1), np.uint64)
+    return pc.if_else(masks.is_valid(), pa.array(_spread(rim, empty) != empty), None)
+
+
+def connected(mask: Column) -> Column:
+    """Whether all cells hang together by their sides; false for no cells.
+
+    A flood takes as many steps as its longest way, which no built-in expression does without the most steps for every row. So this and the next
+    run on Arrow batches, where all boards of a batch take a step at once.
+    """
+    return F.arrow_udf(_connected, T.BooleanType())(mask)
+
+
+def has_hole_by_flood(mask: Column) -> Column:
     """Whether some empty cell can't be reached from outside by sides: the background is flooded from the rim."""
-    empty = lxor(mask, -1)
-    rim = places(lambda r, c: r in (0, SIDE - 1) or c in (0, SIDE - 1))
-    return _flood(land(empty, rim), empty, steps) != empty
+    return F.arrow_udf(_holed, T.BooleanType())(mask)
 
 
 def touches_all_sides(mask: Column, w: int, h: int) -> Column:
