@@ -222,7 +222,8 @@ def unified(files: DataFrame, body: str = "body") -> DataFrame:
     kept = [c for c in files.columns if c != body and c not in added]
     parsed = F.pandas_udf(_parse, _PARSED).asNondeterministic()  # else the filter below would run it again
     rows = cut(files.select(*kept, parsed(F.col(body)).alias("p")).where("p.ok").select(*kept, F.col("p.keys").alias("keys__"), F.col("p.signature").alias("signature")), "bodies")
-    schemas = rows.select("signature").distinct().repartition(width(files.sparkSession), "signature")
+    # few bytes but much work a row: by number, so that the small partitions aren't coalesced into one task
+    schemas = rows.select("signature").distinct().repartition(width(files.sparkSession))
     found = schemas.mapInPandas(_match_all, "signature string, " + ", ".join(f"{f}_key string" for f in FIELDS))
     joined = rows.join(found, "signature", "left")
     cols = []
