@@ -10,7 +10,7 @@ from cellforge.session import cut, width
 
 def classified(df: DataFrame, mask: str = "mask") -> DataFrame:
     """``g.with_canonical`` and ``cells_n``, ``chi`` and ``hole`` (the last two mean something for connected shapes only)."""
-    return g.with_canonical(df, mask).withColumns({"cells_n": g.size(F.col("normal")), "chi": g.euler(F.col("normal")), "hole": g.euler(F.col("normal")) <= 0})
+    return g.settled(g.with_canonical(df, mask).withColumns({"cells_n": g.size(F.col("normal")), "chi": g.euler(F.col("normal")), "hole": g.euler(F.col("normal")) <= 0}))
 
 
 def one_sided(df: DataFrame, mask: str = "mask") -> DataFrame:
@@ -165,3 +165,37 @@ def histogram(landmarks: DataFrame, group: str) -> DataFrame:
     counts = landmarks.where("mask is not null").select(group, g.size(F.col("mask")).alias("size")).groupBy(group, "size").agg(F.count(F.lit(1)).alias("n"))
     top = F.max("n").over(Window.partitionBy(group))
     return counts.withColumn("bar", F.repeat(F.lit("█"), F.greatest(F.lit(1), F.floor(F.col("n") * 40 / top)).cast("int")))
+
+
+def children(shapes: DataFrame, n: int) -> DataFrame:
+    """The distinct one-sided shapes that come of adding a cell to a given one, within n x n: ``mask`` and how many given shapes lead to it (``parents``)."""
+    grown = g.grown(shapes.select("mask"), "mask", n)
+    turned = g.with_canonical(grown.select(F.col("mask").alias("parent"), F.col("grown").alias("mask")))
+    return turned.select("parent", F.col("canonical").alias("mask")).distinct().groupBy("mask").agg(F.count(F.lit(1)).alias("parents"))
+
+
+def asked_chunks(asked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each asked range [first, last] with the chunks [start, start + count) that it overlaps, and how many records of each it wants.
+
+    Both are cut into buckets as wide as the widest chunk, so the join is one of equal buckets; a pair is kept where its later start lies.
+    """
+    size = chunks.agg(F.max("count")).first()[0] or 1
+    spread = lambda df, a, b: df.withColumn("bucket", F.explode(F.sequence(F.floor(a / size), F.floor(b / size))))
+    left = spread(asked, F.col("first"), F.col("last"))
+    right = spread(chunks.where("count > 0"), F.col("start"), F.col("start") + F.col("count") - 1)
+    low, high = F.greatest("first", "start"), F.least(F.col("last"), F.col("start") + F.col("count") - 1)
+    both = left.join(right, [*[c for c in asked.columns if c in chunks.columns], "bucket"]).where((low <= high) & (F.floor(low / size) == F.col("bucket")))
+    return both.withColumn("wanted", high - low + 1).drop("bucket")
+
+
+def rooms(landmarks: DataFrame) -> DataFrame:
+    """Landmarks as assets: their order, index, stored record, box, size and hole."""
+    shaped = classified(landmarks.where("mask is not null").select("landmark_id", "label", "selection_order", "global_index", "mask"))
+    return shaped.select(
+        "landmark_id", "label", "selection_order", "global_index", g.to_hex(F.col("mask")).alias("record"), F.col("w").alias("width"), F.col("h").alias("height"), F.col("cells_n").alias("size"), "hole"
+    )
+
+
+def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that one of two sets of shapes has and the other hasn't: the columns and ``side`` (``left`` or ``right``), each row once."""
+    return a.distinct().subtract(b).withColumn("side", F.lit("left")).unionByName(b.distinct().subtract(a).withColumn("side", F.lit("right")))

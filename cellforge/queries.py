@@ -460,3 +460,56 @@ def landmark_totals(spark: SparkSession, d: str) -> DataFrame:
 )
 def landmark_histogram(spark: SparkSession, d: str) -> DataFrame:
     return sh.histogram(table(spark, d, "landmarks"), "label")
+
+
+@query(
+    "landmark_rooms",
+    _LANDMARK
+    + "SELECT landmark_id, label, selection_order, global_index, "
+    + " || ".join(f"printf('%02x', (mask >> {8 * i}) & 255)" for i in range(8))
+    + " AS record, w AS width, h AS height, CAST(b.n AS INTEGER) AS size, chi <= 0 AS hole FROM landmarks l JOIN box b ON l.landmark_id = b.id JOIN chi USING (id)",
+)
+def landmark_rooms(spark: SparkSession, d: str) -> DataFrame:
+    """Every landmark as an asset with its stored record."""
+    return sh.rooms(table(spark, d, "landmarks"))
+
+
+@query(
+    "landmark_set_difference",
+    """(SELECT DISTINCT dataset_id, mask, 'left' AS side FROM landmarks l WHERE mask IS NOT NULL AND NOT EXISTS (SELECT 1 FROM shapes s WHERE s.dataset_id = l.dataset_id AND s.cells = l.mask))
+    UNION ALL (SELECT DISTINCT dataset_id, cells, 'right' FROM shapes s WHERE cells IS NOT NULL AND NOT EXISTS (SELECT 1 FROM landmarks l WHERE s.dataset_id = l.dataset_id AND s.cells = l.mask))""",
+)
+def landmark_set_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Masks that are logged but no landmarks, and the other way round."""
+    marks = table(spark, d, "landmarks").select("dataset_id", "mask").where("mask is not null")
+    logged = table(spark, d, "shapes").select("dataset_id", F.col("cells").alias("mask")).where("mask is not null")
+    return sh.set_difference(marks, logged)
+
+
+_CHUNK_SQL = """WITH s AS (SELECT dataset_id, stream_id, try_cast(record_count AS BIGINT) AS count, coalesce(sum(try_cast(record_count AS BIGINT)) OVER
+    (PARTITION BY dataset_id ORDER BY has_hole, max_dimension, stream_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM streams)"""
+
+
+@query(
+    "landmark_streams",
+    _CHUNK_SQL
+    + """ SELECT l.landmark_id, s.stream_id, l.global_index - s.start AS position FROM landmarks l JOIN s ON s.dataset_id = l.dataset_id
+    AND l.global_index >= s.start AND l.global_index < s.start + s.count WHERE s.count > 0""",
+)
+def landmark_streams(spark: SparkSession, d: str) -> DataFrame:
+    """In which stream, and where in it, each landmark's global index lies."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("dataset_id").orderBy("has_hole", "max_dimension", "stream_id").rowsBetween(Window.unboundedPreceding, -1)
+    count = F.col("record_count").try_cast("bigint")
+    chunks = table(spark, d, "streams").select("dataset_id", "stream_id", count.alias("count"), F.coalesce(F.sum(count).over(before), F.lit(0)).alias("start"))
+    asked = table(spark, d, "landmarks").where("global_index is not null").select("dataset_id", "landmark_id", F.col("global_index").alias("first"), F.col("global_index").alias("last"))
+    found = sh.asked_chunks(asked, chunks)
+    return found.select("landmark_id", "stream_id", (F.col("first") - F.col("start")).alias("position"))
+
+
+@query("growth_children")
+def growth_children(spark: SparkSession, d: str) -> DataFrame:
+    """The shapes one cell larger that the logged ones of side up to 5 lead to, within 5 x 5, and from how many."""
+    small = sh.one_sided(_masks(spark, d)).where("max_dim <= 5").select("mask")
+    return sh.children(small, 5)
