@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellforge.llm import leaks, mixing, pii, sampling, seen, subset
-from cellforge.session import cut, table
+from cellforge.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,7 +54,7 @@ def p1_answers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "p1_error_rate",
-    f"SELECT tbl, count(*) AS n_rows, count(*) FILTER (seen) AS n_seen, 0 AS n_wrong, 0.0 AS wrong_rate FROM ({_ALL_SEEN}) GROUP BY tbl",
+    f"SELECT tbl, count(*) AS n_rows, count(*) FILTER (seen) AS n_seen, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS DOUBLE) AS wrong_rate FROM ({_ALL_SEEN}) GROUP BY tbl",
 )
 def p1_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """The answers held against the truth, per table."""
@@ -65,7 +65,6 @@ def p1_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-
 # -- problem 3: samples with target shares
 
 _NEEDS_SQL = """SELECT plan_id, dataset_id, max_dimension, has_hole, available, CASE WHEN min_rows > rows THEN min_rows ELSE rows END AS need FROM (
@@ -92,7 +91,6 @@ def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw(table(spark, d, "sample_targets"), table(spark, d, "shapes"))
 
 
-
 # -- problem 4: a varied subset
 
 
@@ -134,7 +132,6 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(_leaks(spark, d), table(spark, d, "eval_items"))
 
 
-
 # -- problem 8: mixing sources to target weights
 
 
@@ -162,7 +159,6 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sized, known, fit)
 
 
-
 # -- problem 9: personal information
 
 
@@ -177,6 +173,3 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text with placeholders."""
     documents = table(spark, d, "documents")
     return pii.redact(documents, pii.fitted(documents))
-
-
-__all__ = ["QUERIES", "SQL", "cut"]
