@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 
@@ -34,3 +35,55 @@ def euler(array: Column) -> Column:
     corners = _distinct(array, [(0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1)])
     edges = _distinct(array, [(0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 0, 1)])
     return corners - edges + F.size(array)
+
+
+def _number(at: list[tuple[int, int]], stride: int) -> int:
+    """The cells, moved so that their box begins at (0, 0), as a number."""
+    r0, c0 = min(r for r, _ in at), min(c for _, c in at)
+    return sum(1 << (stride * (r - r0) + c - c0) for r, c in at)
+
+
+def _flooded(seed: tuple[int, int], inside: set[tuple[int, int]]) -> int:
+    """How many of the places inside can be reached from the seed by sides."""
+    seen, open_ = {seed}, [seed]
+    while open_:
+        r, c = open_.pop()
+        new = {(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)} & inside
+        new -= seen
+        seen |= new
+        open_ += new
+    return len(seen)
+
+
+def _whole(record: str | None, stride: int | None) -> dict | None:
+    """``connected``, ``canonical`` and ``flooded`` (a hole by flood) of one record; none where it can't be read."""
+    try:
+        number = int.from_bytes(bytes.fromhex(record), "little")
+        at = [divmod(i, stride) for i in range(number.bit_length()) if number >> i & 1]
+    except (TypeError, ValueError, ZeroDivisionError):
+        return None
+    if not at:
+        return {"connected": False, "canonical": True, "flooded": False}
+    turns = [at]
+    for _ in range(3):
+        turns.append([(c, -r) for r, c in turns[-1]])
+    rows, cols = [r for r, _ in at], [c for _, c in at]
+    board = {(r, c) for r in range(min(rows) - 1, max(rows) + 2) for c in range(min(cols) - 1, max(cols) + 2)}
+    free = board - set(at)
+    return {
+        "connected": _flooded(at[0], set(at)) == len(at),
+        "canonical": number == min(_number(t, stride) for t in turns),
+        "flooded": _flooded((min(rows) - 1, min(cols) - 1), free) != len(free),
+    }
+
+
+_KIND = pa.struct([("connected", pa.bool_()), ("canonical", pa.bool_()), ("flooded", pa.bool_())])
+
+
+def _wholes(records: pa.Array, strides: pa.Array) -> pa.Array:
+    return pa.array([_whole(r, s) for r, s in zip(records.to_pylist(), strides.to_pylist(), strict=True)], _KIND)
+
+
+def whole(record: Column, stride: Column) -> Column:
+    """What takes floods or turns: whether all cells hang together, the record is the least of its four turns, and some empty cell is shut in."""
+    return F.arrow_udf(_wholes, "connected boolean, canonical boolean, flooded boolean")(record, stride)

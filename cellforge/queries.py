@@ -374,6 +374,43 @@ def verify_exports(spark: SparkSession, d: str) -> DataFrame:
     return sh.verdict(sh.checked(rows, "cells", "w", "h", "size", "max_dimension", "has_hole"), ["dataset_id"])
 
 
+def _wide_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Records of exports wider than 8 with their export's stride, null where the export isn't known."""
+    exports = table(spark, d, "datasets").select("dataset_id", "stride").dropna(subset=["dataset_id"]).groupBy("dataset_id").agg(F.max("stride").alias("stride"))
+    return table(spark, d, "shapes").where("cells is null and wide_cells is not null").join(exports, "dataset_id", "left")
+
+
+@query("verify_records")
+def verify_records(spark: SparkSession, d: str) -> DataFrame:
+    """``verify_exports`` over all exports, also those wider than 8, which its SQL leaves out. Rows without a mask in either form aren't records."""
+    fields = ("w", "h", "size", "max_dimension", "has_hole")
+    rows = table(spark, d, "shapes").where("cells is not null").select("dataset_id", "record_id", "cells", *fields)
+    narrow = sh.checked(rows, "cells", *fields).select("dataset_id", *sh.RULES)
+    broad = sh.checked_wide(_wide_rows(spark, d).select("dataset_id", "wide_cells", "stride", *fields), "wide_cells", "stride", *fields)
+    return sh.verdict(narrow.unionByName(broad.select("dataset_id", *sh.RULES)), ["dataset_id"])
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """All records with a mask, in stored form: little-endian bytes in hexadecimal."""
+    record = F.coalesce(g.to_hex(F.col("cells")), F.lower("wide_cells"))
+    return table(spark, d, "shapes").select("dataset_id", "record_id", "has_hole", "max_dimension", record.alias("record")).where("record is not null")
+
+
+@query("duplicate_records")
+def duplicate_records(spark: SparkSession, d: str) -> DataFrame:
+    """``duplicates`` by stored record, over all exports."""
+    return sh.duplicates(_stored(spark, d), ["dataset_id", "record"], "record_id")
+
+
+@query("record_index")
+def record_index(spark: SparkSession, d: str) -> DataFrame:
+    """``global_index`` over all exports: class, longest side, mask. Masks go by their value as unsigned numbers, whatever the record's width."""
+    rows = _stored(spark, d).drop("dataset_id").dropna()
+    big = F.array_join(F.reverse(F.regexp_extract_all("record", F.lit("(..)"))), "")
+    value = rows.withColumn("value", F.regexp_replace(big, "^0+", "")).withColumn("digits", F.length("value"))
+    return sh.indexed(value, ["has_hole", "max_dimension", "digits", "value", "record_id"]).drop("value", "digits")
+
+
 @query(
     "export_layouts",
     """SELECT dataset_id, stride = greatest(8, max_n) AS stride_right, record_bytes = greatest(8, CAST(ceil(max_n * greatest(8, max_n) / 8.0) AS INTEGER)) AS bytes_right,

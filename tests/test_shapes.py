@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from cellforge import queries
 from cellforge.operators import shapes as sh
 from cellforge.streaming import running
 
@@ -50,3 +51,45 @@ def test_log_as_a_stream(spark, sf_dir, tmp_path):
     once.awaitTermination(120)
     distinct = batch.where("dataset_id is not null and cells is not null and emitted_at is not null").select("dataset_id", "cells").distinct().count()
     assert spark.table("once").count() == distinct
+
+
+def _record(at, stride):
+    return sum(1 << (stride * r + c) for r, c in at).to_bytes(13, "little").hex()
+
+
+def test_wide_checks_find_what_is_wrong(spark):
+    ring = [(r, c) for r in range(9) for c in range(9) if r in (0, 8) or c in (0, 8)]
+    bar, ell = [(0, c) for c in range(9)], [(0, c) for c in range(9)] + [(1, 8)]
+    rows = [
+        (1, ring, 9, 9, 32, 9, True), (2, ring, 9, 8, 31, 10, False), (3, bar, 9, 1, 9, 9, False), (4, [(r, 0) for r in range(9)], 1, 9, 9, 9, False),
+        (5, [(0, 0), (0, 8)], 9, 1, 2, 9, False), (6, [(1, c) for c in range(9)], 9, 1, 9, 9, False), (7, bar, None, 1, None, 9, None), (8, ell, 9, 2, 10, 9, False), (9, [], 0, 0, 0, 0, None),
+    ]
+    data = [(i, _record(at, 10), 10, *rest) for i, at, *rest in rows] + [(10, "zz", 10, 1, 1, 1, 1, False), (11, _record(bar, 10), None, 1, 1, 1, 1, False)]
+    df = spark.createDataFrame(data, "id int, m string, stride int, w int, h int, size int, d int, flag boolean")
+    got = {r["id"]: {k for k in sh.RULES if r[k] is False} for r in sh.checked_wide(df, "m", "stride", "w", "h", "size", "d", "flag").collect()}
+    assert got[1] == got[3] == got[7] == got[10] == got[11] == set()
+    assert got[2] == {"h_right", "size_right", "max_dim_right", "hole_right"}
+    assert got[4] == {"canonical_right"}
+    assert got[5] == {"connected"}
+    assert got[6] == {"at_origin", "canonical_right"}
+    turned = [[(c, -r) for r, c in ell], [(-r, -c) for r, c in ell], [(-c, r) for r, c in ell]]
+    least = min(sum(1 << (10 * (r - min(y for y, _ in t)) + c - min(z for _, z in t)) for r, c in t) for t in [ell, *turned])
+    assert got[8] == (set() if int.from_bytes(bytes.fromhex(_record(ell, 10)), "little") == least else {"canonical_right"})
+    assert "not_empty" in got[9] and "connected" in got[9]
+
+
+def test_every_record_is_checked_and_placed(spark, sf_dir):
+    shapes = spark.read.parquet(f"{sf_dir}/shapes.parquet")
+    held = shapes.where("cells is not null or wide_cells is not null")
+    verdicts = {r["dataset_id"]: r for r in queries.verify_records(spark, sf_dir).collect()}
+    assert {k: r["n_records"] for k, r in verdicts.items()} == {r[0]: r[1] for r in held.groupBy("dataset_id").count().collect()}
+    narrow = {r["dataset_id"]: r for r in queries.verify_exports(spark, sf_dir).collect()}
+    broad = {r[0] for r in shapes.where("wide_cells is not null").select("dataset_id").distinct().collect()}
+    assert broad and not broad & set(narrow) and all(verdicts[k] == r for k, r in narrow.items())
+    places = queries.record_index(spark, sf_dir).collect()
+    places.sort(key=lambda r: r["global_index"])
+    value = lambda r: (r["has_hole"], r["max_dimension"], int.from_bytes(bytes.fromhex(r["record"]), "little"), r["record_id"])
+    assert [r["global_index"] for r in places] == list(range(held.dropna(subset=["has_hole", "max_dimension", "record_id"]).count()))
+    assert [value(r) for r in places] == sorted(value(r) for r in places)
+    want = held.where("dataset_id is not null").groupBy("dataset_id", "cells", "wide_cells").count().where("count > 1").count()
+    assert queries.duplicate_records(spark, sf_dir).count() == want
