@@ -263,13 +263,19 @@ def touches_all_sides(mask: Column, w: int, h: int) -> Column:
 def grown(df: DataFrame, mask: str = "mask", n: int = SIDE) -> DataFrame:
     """One row per shape and empty neighbour that keeps it within n x n: ``grown``, moved to (0, 0). The mask must have its box there.
 
-    The shape is first moved one row and column inwards where it has room, so that cells above and left of it count.
+    The shape is first moved one row and column inwards where it has room, so that cells above and left of it count. One of seven
+    rows or columns then ends at the board's rim, so the cells below or right of it are taken from where it was.
     """
     boxed = with_box(df, mask)
     room = boxed.withColumns({"dr": (F.col("h") < SIDE).cast("int"), "dc": (F.col("w") < SIDE).cast("int")})
     moved = room.withColumn("moved", F.call_function("shiftleft", F.col(mask), F.col("dr") * SIDE + F.col("dc")))
     open_ = moved.withColumn("open", land(beside(F.col("moved")), lxor(F.col("moved"), -1)))
-    at = open_.withColumn("i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("open"), i) == 1)))
+    below, right = places(lambda r, c: r == SIDE - 1), places(lambda r, c: c == SIDE - 1)
+    rim = F.when(F.col("h") == SIDE - 1, long(below)).otherwise(0).bitwiseOR(F.when(F.col("w") == SIDE - 1, long(right)).otherwise(0))
+    far = open_.withColumn("far", land(land(beside(F.col(mask)), lxor(F.col(mask), -1)), rim))
+    both = far.withColumn("place", F.explode(F.array(F.struct("moved", "open"), F.struct(F.col(mask).alias("moved"), F.col("far").alias("open")))))
+    each = both.withColumns({"moved": F.col("place.moved"), "open": F.col("place.open")}).where("open <> 0")
+    at = each.withColumn("i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("open"), i) == 1)))
     whole = at.withColumn("new", F.col("moved").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("i"))))
     out = with_normal(whole.drop("min_row", "min_col", "w", "h"), "new", "grown")
     return settled(out.select(*df.columns, "w", "h", "grown")).where((F.col("w") <= n) & (F.col("h") <= n))

@@ -547,6 +547,5 @@ def landmark_streams(spark: SparkSession, d: str) -> DataFrame:
 
 @query("growth_children")
 def growth_children(spark: SparkSession, d: str) -> DataFrame:
-    """The shapes one cell larger that the logged ones of side up to 5 lead to, within 5 x 5, and from how many."""
-    small = sh.one_sided(_masks(spark, d)).where("max_dim <= 5").select("mask")
-    return sh.children(small, 5)
+    """The shapes one cell larger that the logged ones lead to, within 8 x 8, and from how many."""
+    return sh.children(sh.one_sided(_masks(spark, d)).select("mask"), g.SIDE)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cellforge import queries
@@ -93,3 +94,50 @@ def test_every_record_is_checked_and_placed(spark, sf_dir):
     assert [value(r) for r in places] == sorted(value(r) for r in places)
     want = held.where("dataset_id is not null").groupBy("dataset_id", "cells", "wide_cells").count().where("count > 1").count()
     assert queries.duplicate_records(spark, sf_dir).count() == want
+
+
+def _least(at):
+    """The least of the four turns, moved to (0, 0), as an unsigned number of stride 8."""
+    turns = [set(at)]
+    for _ in range(3):
+        turns.append({(c, -r) for r, c in turns[-1]})
+    low = lambda t: (min(r for r, _ in t), min(c for _, c in t))
+    return min(sum(1 << (8 * (r - low(t)[0]) + c - low(t)[1]) for r, c in t) for t in turns)
+
+
+def _grown_by_force(masks):
+    """Child to how many of the masks, made distinct by turning, lead to it within 8 x 8."""
+    out = {}
+    for mask in {_least([divmod(i, 8) for i in range(64) if m >> i & 1]) for m in masks}:
+        at = {divmod(i, 8) for i in range(64) if mask >> i & 1}
+        new = {(r + y, c + x) for r, c in at for y, x in ((0, 1), (1, 0), (0, -1), (-1, 0))} - at
+        kids = set()
+        for cell in new:
+            kid = at | {cell}
+            if max(max(k[i] for k in kid) - min(k[i] for k in kid) for i in (0, 1)) < 8:
+                kids.add(_least(kid))
+        for k in kids:
+            out[k] = out.get(k, 0) + 1
+    return out
+
+
+@pytest.fixture
+def logged(spark, tmp_path):
+    rnd, masks = random.Random(4), [1, (1 << 7) - 1, (1 << 8) - 1, 2**64 - 1, sum(1 << 8 * r for r in range(7))]
+    for size in [3, 8, 14, 20, 26, 32, 38] * 6:
+        at = {(rnd.randrange(8), rnd.randrange(8))}
+        while len(at) < size:
+            r, c = rnd.choice(sorted(at))
+            y, x = rnd.choice([(0, 1), (1, 0), (0, -1), (-1, 0)])
+            if 0 <= r + y < 8 and 0 <= c + x < 8:
+                at.add((r + y, c + x))
+        masks.append(sum(1 << (8 * r + c) for r, c in at))
+    signed = [(i, "a", m - (m >> 63 << 64)) for i, m in enumerate(masks)]
+    spark.createDataFrame(signed, "record_id bigint, dataset_id string, cells bigint").write.parquet(str(tmp_path / "shapes.parquet"))
+    return str(tmp_path), masks
+
+
+def test_children_against_brute_force(spark, logged):
+    path, masks = logged
+    got = {r["mask"] % (1 << 64): r["parents"] for r in queries.growth_children(spark, path).collect()}
+    assert got == _grown_by_force(masks)
