@@ -11,11 +11,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cellforge.session import cut, width
 
-#: Distinct masks of a block, which chooses its share by itself, and of a leaf; both bound a task's memory.
+#: Distinct masks of a block of leaves, and of a leaf; both bound a task's memory.
 BLOCK_ROWS, LEAF_ROWS = 4096, 1024
 _LEVELS = (BLOCK_ROWS // LEAF_ROWS - 1).bit_length() + 1
 #: Directions of the tournament used to sort masks into cells.
@@ -81,13 +81,19 @@ def _nominate(make: Callable[[np.ndarray], np.ndarray]) -> Callable[[pd.DataFram
     return run
 
 
-def tournament(rows: DataFrame, make: Callable[[np.ndarray], np.ndarray] = features) -> DataFrame:
-    """One round: per (gid, block) up to ``quota`` independent masks. ``rows``: gid, block, leaf, mask, weight, quota."""
+def tournament(rows: DataFrame, make: Callable[[np.ndarray], np.ndarray] = features, blocks: int = 1) -> DataFrame:
+    """One round: per gid up to ``quota`` independent masks, from the root of its tree. ``rows``: gid, block, leaf, mask, weight, quota.
+
+    ``blocks``: how many blocks the largest group has; their nominees are merged by pairs too. A merge holds two sets of at most as
+    many nominees as there are features.
+    """
     # few bytes but much work a group: a fixed number of partitions, which isn't coalesced
     spread = rows.withColumn("pivot", F.lit(0)).repartition(width(rows.sparkSession), "gid", "block", "leaf")
     won = spread.groupBy("gid", "block", "leaf").applyInPandas(_nominate(make), _ROW)
     for _ in range(_LEVELS - 1):
         won = won.withColumn("leaf", F.shiftright("leaf", 1)).groupBy("gid", "block", "leaf").applyInPandas(_nominate(make), _ROW)
+    for _ in range((blocks - 1).bit_length()):
+        won = won.withColumn("block", F.shiftright("block", 1)).groupBy("gid", "block", "leaf").applyInPandas(_nominate(make), _ROW)
     return won
 
 
@@ -185,35 +191,31 @@ def crowded(rows: DataFrame, *, group: str = "dataset_id", mask: str = "mask", r
 def varied(rows: DataFrame, *, group: str = "dataset_id", mask: str = "mask", row: str = "landmark_id", first: tuple[str, ...] = ("selection_order", "global_index"), fraction: float = 0.1, crowd: int = 8) -> DataFrame:
     """A ``fraction`` of each group's rows, rounded up, that covers the variety of its masks.
 
-    Returns ``group``, ``row``, ``mask``, ``round``, ``pivot`` (the place within its block's round) and ``others`` (rows near it, 0 where too few to count).
+    Returns ``group``, ``row``, ``mask``, ``round``, ``pivot`` (the place within its group's round) and ``others`` (rows near it, 0 where too few to count).
 
     Equal masks are one candidate, for which the first row by ``first`` (nulls last) stands, so a group of fewer distinct masks than
     asked gives them all. A mask's weight falls with the rows near it, so that a crowd is chosen from late and
     large groups of similar masks don't dominate. Rows with a null group or mask are never chosen; an empty table gives an empty result.
 
-    A group of more than ``BLOCK_ROWS`` masks is cut into blocks by hash, which choose their shares each by a tournament of
-    leaves of some ``LEAF_ROWS``. A round chooses at most as many as there are independent features (some 150), so the
-    number of rounds depends on the block size, not on the data.
+    Leaves of some ``LEAF_ROWS`` masks nominate, and pairs of nominees are merged up to one root per group, from which each round's
+    rows come. A round chooses at most as many as there are independent features (some 150), so the number of rounds grows with
+    the largest group's share.
     """
     masks = cut(distinct_masks(rows, group, mask, row, list(first)), "masks")
     near = neighbours(masks, crowd)
     weighted = masks.join(near, ["gid", "mask"], "left").withColumn("others", F.coalesce("others", F.lit(0).cast("bigint"))).withColumn("weight", 1.0 / (1.0 + F.col("others")))
-    # each block's share of the group's number, by its share of the group's masks
-    shares = masks.groupBy("gid", "block").agg(F.count(F.lit(1)).alias("m"), F.first("masks").alias("masks"), F.first("rows").alias("rows"))
-    w = Window.partitionBy("gid").orderBy("block")
-    wanted = F.ceil(F.col("rows") * F.lit(fraction))
-    upto = F.ceil(wanted * F.sum("m").over(w) / F.col("masks"))
-    quotas = shares.withColumn("upto", upto).withColumn("quota", F.least("m", F.col("upto") - F.coalesce(F.lag("upto").over(w), F.lit(0)))).select("gid", "block", "quota")
-    state = cut(weighted.join(quotas, ["gid", "block"]).select("gid", "block", "leaf", "mask", "weight", "quota", "others"), "weighted")
+    quota = F.least("masks", F.ceil(F.col("rows") * F.lit(fraction)))
+    state = cut(weighted.withColumn("quota", quota).select("gid", "block", "leaf", "mask", "weight", "quota", "others"), "weighted")
+    blocks = masks.agg(F.max("blocks")).first()[0] or 1
     out = None
     left, number = state.select("gid", "block", "leaf", "mask", "weight", "quota"), 0
     while True:
-        won = cut(tournament(left.where("quota > 0")).select("gid", "block", "mask", "pivot", F.lit(number).alias("round")), "won")
+        won = cut(tournament(left.where("quota > 0"), blocks=blocks).select("gid", "mask", "pivot", F.lit(number).alias("round")), "won")
         if won.isEmpty():
             break
         out = won if out is None else out.unionByName(won)
-        taken = won.groupBy("gid", "block").agg(F.count(F.lit(1)).alias("taken"))
-        rest = left.join(won.select("gid", "mask"), ["gid", "mask"], "left_anti").join(taken, ["gid", "block"], "left")
+        taken = won.groupBy("gid").agg(F.count(F.lit(1)).alias("taken"))
+        rest = left.join(won.select("gid", "mask"), ["gid", "mask"], "left_anti").join(taken, "gid", "left")
         left = cut(rest.select("gid", "block", "leaf", "mask", "weight", (F.col("quota") - F.coalesce("taken", F.lit(0))).alias("quota")).where("quota > 0"), "left")
         number += 1
         if left.isEmpty():

@@ -90,3 +90,22 @@ def test_empty(spark):
     assert s.varied(none).count() == 0 and s.crowded(none).count() == 0
     nulls = spark.createDataFrame([(1, None, None, None, None, None, None)], SCHEMA)
     assert s.varied(nulls).count() == 0 and s.crowded(nulls).count() == 0
+
+
+def test_nominees_of_all_blocks_meet(spark):
+    """Four blocks that each hold the same three directions give three nominees a round, not three a block."""
+    masks = [1 << i | 1 << j for i, j in ((0, 1), (20, 21), (40, 41))]
+    rows = [(1, b, b % 2, m, 1.0, 50) for b in range(5) for m in masks]
+    got = s.tournament(spark.createDataFrame(rows, "gid bigint, block int, leaf int, mask bigint, weight double, quota bigint"), blocks=5).collect()
+    assert sorted(r["mask"] for r in got) == sorted(masks)
+
+
+def test_a_large_group_chooses_as_one(spark, monkeypatch):
+    """Cut into many blocks and leaves, a group still fills its quota, and no direction is taken twice in a round."""
+    monkeypatch.setattr(s, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(s, "LEAF_ROWS", 4)
+    rows = [(i, "a", 3 << i % 60 | 1 << i // 60, i, i) for i in range(180)]
+    df = spark.createDataFrame(rows, "landmark_id int, dataset_id string, mask bigint, selection_order int, global_index int")
+    got = s.varied(df).collect()
+    assert len(got) == len({r["mask"] for r in got}) == 18
+    assert {r["round"] for r in got} == {0} and sorted(r["pivot"] for r in got) == list(range(18))
