@@ -36,19 +36,21 @@ def features(masks: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
-def pivots(rows: np.ndarray, most: int, least: float = 1e-4) -> tuple[list[int], np.ndarray]:
+def pivots(rows: np.ndarray, most: int, least: float = 1e-4, weight: np.ndarray | None = None) -> tuple[list[int], np.ndarray]:
     """Row-pivoted QR: the chosen rows in order, and the orthonormal directions they add.
 
     Each step takes the row with the greatest part outside the directions so far and removes that direction from
-    all rows; it ends at ``most`` rows or when no row has more than ``least`` left.
+    all rows; it ends at ``most`` rows or when no row has more than ``least`` left. ``weight``
+    only says which of the rows that have comes first.
     """
     rest = rows.astype(np.float64)
     left = (rest**2).sum(axis=1)
     chosen: list[int] = []
     basis = np.zeros((min(most, *rows.shape), rows.shape[1]))
     for k in range(len(basis)):
-        i = int(np.argmax(left))
-        if left[i] <= least:
+        able = left > least
+        i = int(np.argmax(np.where(able, left if weight is None else left * weight, -1)))
+        if not able[i]:
             break
         q = rest[i] - basis[:k].T @ (basis[:k] @ rest[i])
         norm = np.linalg.norm(q)
@@ -72,8 +74,8 @@ def _nominate(make: Callable[[np.ndarray], np.ndarray]) -> Callable[[pd.DataFram
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("mask", kind="stable").reset_index(drop=True)
-        weighted = make(rows["mask"].to_numpy(np.int64)) * np.sqrt(rows["weight"].to_numpy(float))[:, None]
-        chosen, _ = pivots(weighted, int(rows["quota"].iloc[0]), 1e-6)
+        made = make(rows["mask"].to_numpy(np.int64))
+        chosen, _ = pivots(made, int(rows["quota"].iloc[0]), 1e-6, rows["weight"].to_numpy(float))
         out = rows.iloc[chosen].copy()
         out["pivot"] = np.arange(len(chosen), dtype=np.int32)
         return out

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cellforge.llm import subset as s
@@ -109,3 +110,10 @@ def test_a_large_group_chooses_as_one(spark, monkeypatch):
     got = s.varied(df).collect()
     assert len(got) == len({r["mask"] for r in got}) == 18
     assert {r["round"] for r in got} == {0} and sorted(r["pivot"] for r in got) == list(range(18))
+
+
+def test_rows_of_tiny_weight_are_nominated():
+    """Masks amid tens of millions of copies fill the quota like any others, after heavier ones."""
+    rows = pd.DataFrame({"gid": 1, "block": 0, "leaf": 0, "mask": [1, 2, 4, 8], "weight": [1e-8, 1e-8, 1.0, 1e-8], "quota": 4, "pivot": 0})
+    got = s._nominate(s.features)(rows)
+    assert sorted(got["mask"]) == [1, 2, 4, 8] and got["mask"].iloc[0] == 4
