@@ -28,11 +28,11 @@ def bits(masks: np.ndarray) -> np.ndarray:
 
 
 def features(masks: np.ndarray) -> np.ndarray:
-    """Cells, neighbouring pairs and 2 x 2 squares of each mask, as rows of length 1."""
+    """Cells, neighbouring pairs and 2 x 2 squares of each mask, and whether it is empty, as rows of length 1."""
     grid = bits(masks).reshape(-1, 8, 8)
     across, down = grid[:, :, 1:] * grid[:, :, :-1], grid[:, 1:] * grid[:, :-1]
     square = across[:, 1:] * across[:, :-1]
-    rows = np.concatenate([x.reshape(len(masks), -1) for x in (grid, across, down, square)], axis=1)
+    rows = np.concatenate([x.reshape(len(masks), -1) for x in (grid, across, down, square, masks == 0)], axis=1)
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
 
 
@@ -130,7 +130,8 @@ def _cells(masks: pd.DataFrame, basis: pd.DataFrame) -> pd.DataFrame:
     """Each mask's cell on the grid that the directions span; its side is the greatest distance that two changed bits make."""
     if not len(masks) or not len(basis):
         return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("gid", "mask", "n", "vary", "c0", "c1", "c2")})
-    q = np.asarray(basis["basis"].iloc[0], float).reshape(-1, 64)
+    found = basis["basis"].iloc[0]  # none where the tournament saw only the empty mask
+    q = np.asarray([] if found is None else found, float).reshape(-1, 64)
     along = bits(masks["mask"].to_numpy(np.int64)) @ q.T
     side = np.sqrt(2) * (1 + 1e-6)
     at = np.zeros((len(masks), DIRECTIONS), np.int32)
@@ -151,7 +152,7 @@ def neighbours(masks: DataFrame, crowd: int) -> DataFrame:
     """
     seeds = tournament(masks.where("block = 0").select("gid", "block", "leaf", "mask", F.lit(1.0).alias("weight"), F.lit(DIRECTIONS).cast("bigint").alias("quota")), bits)
     basis = seeds.groupBy("gid").applyInPandas(_basis, "gid bigint, basis array<double>")
-    spread = cut(masks.select("gid", "block").distinct().join(basis, "gid"), "basis")
+    spread = cut(masks.select("gid", "block").distinct().join(basis, "gid", "left"), "basis")
     celled = cut(
         masks.select("gid", "block", "mask", "n", "vary")
         .groupBy("gid", "block")

@@ -117,3 +117,11 @@ def test_rows_of_tiny_weight_are_nominated():
     rows = pd.DataFrame({"gid": 1, "block": 0, "leaf": 0, "mask": [1, 2, 4, 8], "weight": [1e-8, 1e-8, 1.0, 1e-8], "quota": 4, "pivot": 0})
     got = s._nominate(s.features)(rows)
     assert sorted(got["mask"]) == [1, 2, 4, 8] and got["mask"].iloc[0] == 4
+
+
+def test_the_empty_mask_counts(spark):
+    rows = [(i, "a", 0, i, i) for i in range(9)] + [(20 + i, "b", m, i, i) for i, m in enumerate([0, 1, 6])]
+    df = spark.createDataFrame(rows, "landmark_id int, dataset_id string, mask bigint, selection_order int, global_index int")
+    assert {r["landmark_id"] for r in s.crowded(df).collect()} == set(range(9))
+    got = {(r["dataset_id"], r["mask"]) for r in s.varied(df, fraction=1.0).collect()}
+    assert got == {("a", 0), ("b", 0), ("b", 1), ("b", 6)}
