@@ -6,13 +6,14 @@ weighted exponential keys, minimums are repaired, and what could not be met is r
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cellforge.session import cut
+from cellforge.session import cut, width
 
 #: Slices of the key range used to find a category's cut without ranking all of it.
 SLICES = 16_384
@@ -75,44 +76,30 @@ def candidates(records: DataFrame, targets: DataFrame, p: Plan = Plan()) -> Data
 
 
 def rake(share: np.ndarray, available: np.ndarray, margins: list[np.ndarray], size: float, rounds: int = 200) -> np.ndarray:
-    """Expected rows per category by iterative proportional fitting.
+    """Expected rows per category by iterative proportional fitting, from a weight of 1 for every record.
 
-    The whole table, each margin's classes and the total are scaled in turn to their wanted sums, until nothing moves. No category goes
-    under its own wanted rows, as far as it has them, nor over what is available: a category that falls
-    short is made up by others, of its classes first, and takes nothing from those that are met.
+    The categories are scaled to their own wanted rows first, as far as they have them; then each margin's classes and the total are scaled
+    in turn to their wanted sums, between those rows and what is available, until a whole turn moves nothing. So what a category
+    lacks is made up by others, of its classes first, and is taken from none that are met.
     """
     want = share * size
-    floor = np.minimum(want, available)
-    lacking = want.sum() - floor.sum()
-    x = floor.copy()
-    margins = [*margins, np.zeros(len(want), int)]
+    least = np.minimum(want, available)
+    x = available.astype(float)
+    x *= np.divide(least, x, out=np.zeros_like(x), where=x > 0)
     for _ in range(rounds):
         before = x.copy()
-        for classes in margins:
+        for classes in [*margins, np.zeros(len(want), int)]:
             target, now = np.bincount(classes, want), np.bincount(classes, x)
             factor = np.divide(target, now, out=np.ones_like(now), where=now > 0)
-            x = np.clip(x * factor[classes], floor, available)
+            x = np.clip(x * factor[classes], least, available)
         if np.abs(x - before).max(initial=0) < 1e-6:
             break
-    extra = x - floor
-    if extra.sum() > lacking > 0:
-        extra *= lacking / extra.sum()
-    for _ in x:  # what the margins leave open goes to all that have rows left
-        room, left = available - floor - extra, lacking - extra.sum()
-        part = want * (room > _EPS)
-        if left <= _EPS or part.sum() <= 0:
+    for _ in x:  # margins that can't all be met leave the total open: what has rows left takes it, in proportion
+        room, left = (x < available - _EPS) & (x > 0), want.sum() - x.sum()
+        if left <= _EPS or not room.any():
             break
-        extra += np.minimum(room, left * part / part.sum())
-    return floor + extra
-
-
-def whole(x: np.ndarray, caps: np.ndarray) -> np.ndarray:
-    """Whole numbers near ``x`` with its rounded sum, none over ``caps``: largest remainders first."""
-    base = np.minimum(np.floor(x + _EPS), caps).astype(np.int64)
-    left = int(round(x.sum())) - int(base.sum())
-    for i in [i for i in np.argsort(-(x - base), kind="stable") if base[i] < caps[i]][: max(0, left)]:
-        base[i] += 1
-    return base
+        x = np.where(room, np.minimum(available, x * (1 + left / x[room].sum())), x)
+    return x
 
 
 def repair(quota: np.ndarray, minimum: np.ndarray, available: np.ndarray, size: int) -> np.ndarray:
@@ -129,68 +116,95 @@ def repair(quota: np.ndarray, minimum: np.ndarray, available: np.ndarray, size:
     return quota
 
 
-def _plan_quotas(p: Plan) -> object:
+def _raked(p: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(list(p.category)).reset_index(drop=True)
-        share, available = rows["share"].to_numpy(float), rows["available"].to_numpy(np.int64)
-        size = int(rows["size"].max())
+        available = rows["available"].to_numpy(np.int64)
         margins = [pd.factorize(rows[m], use_na_sentinel=False)[0] for m in p.margins]
-        x = rake(share, available, margins, size)
-        quota = repair(whole(x, available), rows["minimum"].to_numpy(np.int64), available, size)
-        rows["weight"] = np.divide(quota, available, out=np.zeros(len(rows)), where=available > 0)
-        rows["quota"] = quota
+        rows["raked"] = rake(rows["share"].to_numpy(float), available, margins, int(rows["size"].max()))
+        rows["weight"] = np.divide(rows["raked"], available, out=np.zeros(len(rows)), where=available > 0)
         return rows
 
     return run
 
 
-def report(targets: DataFrame, records: DataFrame, p: Plan = Plan(), drawn_from: DataFrame | None = None) -> DataFrame:
-    """Per plan and category: ``share``, ``minimum``, ``size``, ``need``, ``available``, ``weight``, ``quota``, ``reached`` share and
-    ``gap`` (rows of the need that the sample lacks) and ``short`` (the need exceeds what is available).
+def _quotas(rows: pd.DataFrame) -> pd.DataFrame:
+    """What the keys drew, with no category under what was raked for its own target (rounded up) nor under its minimum."""
+    rows = rows.reset_index(drop=True)
+    size, available = int(rows["size"].max()), rows["available"].to_numpy(np.int64)
+    own = np.ceil(np.minimum(rows["raked"], rows["share"] * size) - _EPS).to_numpy(np.int64)
+    rows["quota"] = repair(rows["by_key"].to_numpy(np.int64), np.maximum(own, rows["minimum"].to_numpy(np.int64)), available, size)
+    return rows
 
-    A category without records has 0 available. An empty target table gives an empty report; a plan of size 0 gets its minimums' worth of nothing.
-    Raking runs per plan over its categories' counts, never over records.
-    """
-    pool = candidates(records, targets, p) if drawn_from is None else drawn_from
-    counts = pool.groupBy(*p.category).agg(F.count(F.lit(1)).alias("available"))
-    asked = needs(targets, p).join(counts, list(p.category), "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema) + ", weight double, quota bigint"
-    raked = asked.groupBy(p.plan).applyInPandas(_plan_quotas(p), schema)
-    total = F.sum("quota").over(Window.partitionBy(p.plan))
-    return raked.select(
-        p.plan, *p.category, "share", "minimum", "size", "need", "available", "weight", "quota",
-        F.when(total > 0, F.col("quota") / total).alias("reached"),
-        F.greatest(F.col("need") - F.col("quota"), F.lit(0)).alias("gap"),
-        (F.col("need") > F.col("available")).alias("short"),
-    )
 
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", {more}"
 
-def draw(targets: DataFrame, records: DataFrame, p: Plan = Plan(), seed: int = 0) -> DataFrame:
-    """Every plan's sample: ``plan``, category, record, its least row id and ``sort_key``.
 
-    Each record gets the key -ln(u)/weight with u hashed from (seed, plan, record), and the ``quota`` smallest of each
-    category are drawn; the same input gives the same sample whatever its order. Ties go by the record.
+def drawn(targets: DataFrame, records: DataFrame, p: Plan = Plan(), seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Every plan's categories with ``raked`` rows, ``weight``, rows drawn ``by_key`` and, repaired, their ``quota``; and the sample.
+
+    Each record gets the key -ln(u)/weight with u hashed from (seed, plan, record). A plan draws the smallest keys of all its
+    categories together until its size is reached; then categories under their raked targets or minimums are filled up from their next keys, and those above give theirs back.
+    The sample has each category's ``quota`` smallest keys; ties go by the record.
 
-    No category is ranked in one task: the key range is cut into slices, counted, and only the slice where the quota
-    ends is ranked. Categories are joined with their quotas in salted parts.
+    Nothing is ranked in one task: the key range is cut into slices and counted, a plan's cut falls between two slices, and only the
+    slice where a category's quota ends is ranked. Categories are joined with their records in salted parts.
     """
     pool = cut(candidates(records, targets, p), "pool")
-    quotas = cut(report(targets, records, p, pool).where("quota > 0").select(p.plan, *p.category, "weight", "quota"), "quotas")
+    counts = pool.groupBy(*p.category).agg(F.count(F.lit(1)).alias("available"))
+    asked = needs(targets, p).join(counts, list(p.category), "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    # few bytes but some work a plan: a fixed number of partitions, which isn't coalesced
+    spread = asked.repartition(width(targets.sparkSession), p.plan)
+    raked = cut(spread.groupBy(p.plan).applyInPandas(_raked(p), _schema(asked, "raked double, weight double")), "raked")
+
     salts = 16
-    salted = quotas.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    at = [p.plan, *p.category]
     hashed = F.xxhash64(F.lit(seed), F.col(p.plan), F.col(p.record))
     # the top 53 bits, in (0, 1)
     u = (F.shiftrightunsigned(hashed, 11) + F.lit(0.5)) / F.lit(2.0**53)
-    keyed = (
-        pool.withColumn("salt", F.pmod(F.xxhash64(p.record), F.lit(salts)).cast("int"))
-        .join(salted, [*p.category, "salt"])
-        .withColumn("u", u)
-        .withColumn("slice", F.floor((1 - F.col("u")) * SLICES).cast("int"))
-        .withColumn("sort_key", -F.log("u") / F.col("weight"))
-    )
-    at = [p.plan, *p.category]
-    counts = keyed.groupBy(*at, "quota", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*at).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    open_ = counts.withColumn("left", F.col("quota") - F.coalesce(before, F.lit(0))).where("left > 0").select(*at, "slice", "left")
+    salted = pool.withColumn("salt", F.pmod(F.xxhash64(p.record), F.lit(salts)).cast("int"))
+
+    def keyed(plans: DataFrame, *more: str) -> DataFrame:
+        each = plans.select(*at, "weight", *more).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        key = -F.log(u) / F.col("weight")
+        return salted.join(each, [*p.category, "salt"]).withColumn("sort_key", key).withColumn("slice", F.floor((1 - F.exp(-F.col("sort_key"))) * SLICES).cast("int"))
+
+    sliced = cut(keyed(raked.where("weight > 0"), "size").groupBy(*at, "size", "slice").agg(F.count(F.lit(1)).alias("n")), "sliced")
+    # at most SLICES rows for each of a plan's few categories
+    before = F.sum("n").over(Window.partitionBy(p.plan).orderBy("slice").rangeBetween(Window.unboundedPreceding, -1))
+    by_key = sliced.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < F.col("size")).groupBy(*at).agg(F.sum("n").alias("by_key"))
+    held = raked.join(by_key, at, "left").withColumn("by_key", F.coalesce("by_key", F.lit(0)))
+    quotas = cut(held.groupBy(p.plan).applyInPandas(_quotas, _schema(held, "quota bigint")), "quotas")
+
+    within = F.sum("n").over(Window.partitionBy(*at).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    asked_for = quotas.where("quota > 0 and weight > 0").select(*at, "weight", "quota")
+    left = F.col("quota") - F.coalesce(within, F.lit(0))
+    open_ = sliced.join(asked_for.drop("weight"), at).withColumn("left", left).where("left > 0").select(*at, "slice", "left")
     rank = F.row_number().over(Window.partitionBy(*at, "slice").orderBy("sort_key", p.record))
-    return keyed.join(open_, [*at, "slice"]).withColumn("rank", rank).where(F.col("rank") <= F.col("left")).select(*at, p.record, p.row, "sort_key")
+    rows = keyed(asked_for).join(open_, [*at, "slice"]).withColumn("rank", rank).where(F.col("rank") <= F.col("left"))
+    return quotas, rows.select(*at, p.record, p.row, "sort_key")
+
+
+def draw(targets: DataFrame, records: DataFrame, p: Plan = Plan(), seed: int = 0) -> DataFrame:
+    """Every plan's sample: ``plan``, category, record, its least row id and ``sort_key``. The same input gives the same sample whatever its order."""
+    return drawn(targets, records, p, seed)[1]
+
+
+def report(targets: DataFrame, records: DataFrame, p: Plan = Plan(), seed: int = 0) -> DataFrame:
+    """Per plan and category: ``share``, ``minimum``, ``size``, ``need``, ``available``, ``raked``, ``weight``, ``quota``, and of the sample itself the
+    rows ``drawn``, their ``reached`` share of it, the ``gap`` (rows of the need that it lacks) and whether it is ``short`` of any.
+
+    A category without records has 0 available. An empty target table gives an empty report; a plan of size 0 draws its minimums' rows from
+    categories with a share only. Raking and repairs run per plan over its categories' counts, never over records.
+    """
+    quotas, sample = drawn(targets, records, p, seed)
+    at = [p.plan, *p.category]
+    got = sample.groupBy(*at).agg(F.count(F.lit(1)).alias("drawn"))
+    held = quotas.join(got, at, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    total = F.sum("drawn").over(Window.partitionBy(p.plan))
+    gap = F.greatest(F.col("need") - F.col("drawn"), F.lit(0))
+    return held.select(
+        *at, "share", "minimum", "size", "need", "available", "raked", "weight", "quota", "drawn",
+        F.when(total > 0, F.col("drawn") / total).alias("reached"), gap.alias("gap"), (gap > 0).alias("short"),
+    )

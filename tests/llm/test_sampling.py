@@ -15,9 +15,12 @@ def test_rake_meets_what_it_can_and_takes_from_none():
     assert s.rake(share, np.zeros(3), [np.array([0, 0, 1])], 100).sum() == 0
 
 
-def test_whole_numbers():
-    assert s.whole(np.array([1.5, 2.5, 3.0]), np.array([9, 9, 9])).sum() == 7
-    assert s.whole(np.array([2.9, 0.1]), np.array([2, 5])).tolist() == [2, 1]
+def test_rake_fits_the_margins_that_can_be_fitted():
+    """What one category lacks goes to the others of its classes before it goes anywhere else."""
+    share, have = np.array([0.4, 0.2, 0.2, 0.2]), np.array([30, 100, 100, 100])
+    x = s.rake(share, have, [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])], 100)
+    assert x[0] == 30 and x.sum() == pytest.approx(100) and (x[1:] >= 20 - 1e-6).all()
+    assert x[1] > x[3] and x[2] > x[3]
 
 
 def test_minimums_are_repaired_within_the_size():
@@ -49,6 +52,22 @@ def test_report(tables):
     assert got[4, 5]["need"] == 1 and got[4, 5]["available"] == 0  # a null meets none
 
 
+def test_the_shortfall_is_read_from_the_raked_sample(tables, monkeypatch):
+    """Without raking nothing but minimums is drawn, and the report shows it."""
+    honest = {(r["plan_id"], r["max_dimension"]): r["short"] for r in s.report(*tables).collect()}
+    assert not honest[1, 3] and honest[1, 4] and not honest[2, 3]
+    monkeypatch.setattr(s, "rake", lambda share, available, margins, size: np.zeros(len(share)))
+    blind = {(r["plan_id"], r["max_dimension"]): r for r in s.report(*tables).collect()}
+    assert blind[1, 3]["short"] and blind[2, 3]["short"] and blind[1, 3]["drawn"] == 0
+
+
+def test_drawn_rows_are_counted(tables):
+    quotas = {(r["plan_id"], r["max_dimension"], r["has_hole"]): r for r in s.report(*tables).collect()}
+    sample = s.draw(*tables).groupBy("plan_id", "max_dimension", "has_hole").count().collect()
+    assert {tuple(r[:3]): r[3] for r in sample} == {k: r["drawn"] for k, r in quotas.items() if r["drawn"]}
+    assert all(r["drawn"] == r["quota"] for r in quotas.values())
+
+
 def test_sample_has_the_quotas_and_no_record_twice(tables):
     rows = s.draw(*tables).collect()
     quotas = {(r["plan_id"], r["max_dimension"], r["has_hole"]): r["quota"] for r in s.report(*tables).collect() if r["quota"]}
