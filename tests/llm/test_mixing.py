@@ -93,13 +93,43 @@ def test_least_squares_beats_other_rates(spark, docs):
     tokens = np.array([r["tokens"] for r in rows], float)
     caps = member @ fit.caps[1]
     rng = np.random.default_rng(0)
-    base = m.rates(member, fit.caps[1], fit.steps[1])
+    base = m._rated(fit, 1, member, np.array([r["src"] is None for r in rows]))
     assert np.allclose((base * tokens) @ member, fit.expected[1], rtol=1e-3)
     for _ in range(200):
         x = np.clip(base + rng.normal(size=len(base)) * 0.2, 0, caps)
         assert (((x * tokens) @ member - want) ** 2).sum() >= best - 1e-6 * fit.total**2
 
 
+def test_shortfalls_are_the_fits_residuals(spark, docs, monkeypatch):
+    """Without a single step nothing is reached, and the report says so."""
+    targets = spark.createDataFrame([(1, "web", 0.3, 2, 0), (1, "code", 0.7, 1, 0)], TARGETS)
+    sized, known, fit, report = whole(docs, targets)
+    got = {r["source"]: r for r in report.collect()}
+    assert not got["web"]["short"] and got["web"]["lacking"] == pytest.approx(0, abs=1e-6)
+    assert got["code"]["short"] and got["code"]["lacking"] == pytest.approx(got["code"]["target_tokens"] - got["code"]["source_tokens"])
+    assert fit.moved < 1e-4 and got["web"]["moved"] == fit.moved
+    idle = m.fitted(sized, known, targets, rounds=0)
+    assert all(r["short"] for r in m.report(sized, known, targets, idle).collect())
+
+
+def test_shares_of_the_mix_itself(spark, docs):
+    targets = spark.createDataFrame([(1, "web", 0.3, 2, 0), (1, "news", 0.3, 2, 0), (1, "code", 0.4, 3, 0)], TARGETS)
+    sized, known, fit, report = whole(docs, targets)
+    rows = report.collect()
+    mixed = m.mix(sized, known, fit)
+    tokens = mixed.agg(F.sum(F.col("tokens") * F.col("uses"))).first()[0]
+    assert {r["mix_tokens"] for r in rows} == {tokens}
+    assert sum(r["mix_share"] for r in rows) == pytest.approx(1)
+    assert all(r["mix_share"] == pytest.approx(r["target_weight"], abs=0.05) for r in rows)
+
+
+def test_long_documents_enter_the_fit(spark):
+    rows = [(i, ("alpha beta " if i % 2 else "delta zeta ") * 9000, "web" if i % 2 else "news", None, "", 0) for i in range(6)]
+    sized, known = m.measured(spark.createDataFrame([*rows, (9, "delta zeta " * 50, None, None, "", 0)], DOCS))
+    member = sized.where("doc_id = 9").first()["member"]
+    assert known == ["news", "web"] and member[0] > member[1]
+
+
 def test_empty(spark):
     none, targets = spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "web", 1.0, 1, 0)], TARGETS)
     sized, known, fit, report = whole(none, targets)
