@@ -12,6 +12,7 @@ import warnings
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ def source_name(col: Column) -> Column:
     return F.replace(F.lower(F.trim(F.regexp_replace(col, r"^\s+|\s+$", ""))), F.lit("-"), F.lit("_"))
 
 
+@lru_cache(1)
 def encoder(ranks: bytes) -> tiktoken.Encoding:
     table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line)}
     return tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
@@ -85,8 +87,8 @@ def _vectors(shared: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         for batch in batches:
             rows = [vector(enc.encode_ordinary(t), s) for t, s in zip(batch.column("text").to_pylist(), batch.column("site").to_pylist(), strict=True)]
             at = [np.flatnonzero(r) for r in rows]
-            values = pa.array([r[i] for r, i in zip(rows, at, strict=True)], pa.list_(pa.float32()))
-            yield pa.record_batch([batch.column("src"), pa.array([i.astype(np.int32) for i in at], pa.list_(pa.int32())), values], ["src", "at", "value"])
+            values = pa.array([r[i].astype("<f4").tobytes() for r, i in zip(rows, at, strict=True)], pa.binary())
+            yield pa.record_batch([batch.column("src"), pa.array([i.astype("<i4").tobytes() for i in at], pa.binary()), values], ["src", "at", "value"])
 
     return run
 
@@ -95,10 +97,10 @@ def classifier(documents: DataFrame, ranks: object, most: int = FIT_DOCUMENTS) -
     """Fitted on at most ``most`` documents with a source, chosen by the hash of their id. ``ranks``: the broadcast vocabulary."""
     sample = bounded(documents.where(F.col("src").isNotNull()).select("doc_id", "text", "site", "src"), "doc_id", most)
     # few rows but much work each: spread, and not coalesced
-    found = sample.repartition(width(documents.sparkSession)).mapInArrow(_vectors(ranks), "src string, at array<int>, value array<float>").collect()
+    found = sample.repartition(width(documents.sparkSession)).mapInArrow(_vectors(ranks), "src string, at binary, value binary").collect()
     rows = np.zeros((len(found), _FEATURES), np.float32)
     for i, r in enumerate(found):
-        rows[i, r["at"]] = r["value"]
+        rows[i, np.frombuffer(r["at"], "<i4")] = np.frombuffer(r["value"], "<f4")
     return fit(rows, [r["src"] for r in found])
 
 
