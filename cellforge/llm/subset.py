@@ -33,6 +33,11 @@ def bits(masks: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(masks, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
 
 
+def plain(masks: np.ndarray) -> np.ndarray:
+    """Cells of each mask, and whether it is empty."""
+    return np.concatenate([bits(masks), (masks == 0)[:, None]], axis=1)
+
+
 def features(masks: np.ndarray) -> np.ndarray:
     """Cells, neighbouring pairs and 2 x 2 squares of each mask, and whether it is empty, as rows of length 1."""
     grid = bits(masks).reshape(-1, 8, 8)
@@ -169,7 +174,7 @@ def leaves_of(masks: DataFrame) -> int:
 def with_pivots(masks: DataFrame, leaves: int) -> DataFrame:
     """``masks`` with ``d``, the distances of each from its group's pivots, by pivot. A group without pivots drops out."""
     quota = F.least("masks", F.greatest(F.lit(FEWEST), F.least(F.lit(MOST), F.ceil(F.col("masks") / PER_PIVOT)))).cast("bigint")
-    won = tournament(masks.select("gid", "leaf", "mask", F.lit(1.0).alias("weight"), quota.alias("quota")), leaves, bits)
+    won = tournament(masks.select("gid", "leaf", "mask", F.lit(1.0).alias("weight"), quota.alias("quota")), leaves, plain)
     # at most MOST pivots a group; salted, so that the masks of a large group are spread
     salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
     each = won.groupBy("gid").agg(F.array_sort(F.collect_list("mask")).alias("pivots")).withColumn("salt", salts)
