@@ -1,9 +1,10 @@
 """Schemas that drift between files (problem 6).
 
-Each body is flattened to its keys and their JSON types. Every distinct schema becomes a small graph
-of keys, words, types and nesting, which similarity flooding matches with the graph of the wanted
-fields; the fixpoint's best consistent correspondences say which key carries which field. Bodies
-are then cast into one table, and consecutive files of a series are compared.
+Each body is flattened to its keys and their JSON types. The corpus itself tells what a field's values look like and which keys stand
+beside it, and so can't be it under another name. Every distinct schema becomes a graph of keys, words, types
+and nesting, which similarity flooding matches with the graph of the wanted fields and of the schema's keys that are known to be others;
+the fixpoint's best consistent correspondences say which key carries which field. Bodies are then cast into one
+table, and consecutive files of a series are compared.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,48 +23,18 @@ from cellforge.session import cut, width
 
 FIELDS = ("format_version", "encoding", "record_bytes", "stride")
 
-#: The target graph: each field's names, the JSON types that suit it and, as ``None``, the other keys
-#: of a manifest, which are matched too so that they can't be taken for a field.
-TARGETS = {
-    "format_version": ("format version", "number"),
-    "encoding": ("encoding", "text"),
-    "record_bytes": ("record bytes", "number"),
-    "stride": ("stride", "number"),
-    "writer_version": ("writer version", "text"),
-    "bytes_total": ("bytes total", "number"),
-    "record_count": ("record count", "number"),
-    "max_n": ("max n", "number"),
-    "complete": ("complete", "flag"),
-    "ordering": ("ordering", "text"),
-    "equivalence": ("equivalence", "text"),
-    "storage_layout": ("storage layout", "text"),
-    "representative": ("representative", "text"),
-    "dataset_id": ("dataset id", "text"),
-    "category_dimension": ("category dimension", "text"),
-    "note": ("note", "text"),
-    "streams": ("streams", "list"),
-    "byte_order": ("byte order", "text"),
-}
-
-#: Words that mean the same in a key's name; the empty ones say nothing about the field.
-SYNONYMS = {
-    "ver": "version", "schema": "format", "manifest": "format", "fmt": "format", "rec": "record", "size": "bytes", "len": "bytes", "length": "bytes", "width": "bytes",
-    "pitch": "stride", "enc": "encoding", "codec": "encoding", "tool": "writer", "generator": "writer", "app": "writer", "program": "writer", "software": "writer",
-    "overall": "total", "sum": "total", "records": "record", "byte": "bytes", "per": "", "name": "", "mask": "", "cell": "", "cells": "", "row": "", "rows": "",
-}
-
-_SUITS = {
-    ("number", "int"): 1.0, ("number", "float"): 0.9, ("number", "string"): 0.6, ("text", "string"): 1.0, ("text", "array"): 0.6, ("text", "object"): 0.6,
-    ("flag", "bool"): 1.0, ("list", "array"): 1.0, ("text", "int"): 0.3, ("number", "bool"): 0.1,
-}
+#: Keys that are none of the fields, by the task's statement: about the writing program and total bytes.
+OTHERS = ("writer_version", "bytes_total")
+KINDS = ("int", "float", "string", "bool", "array", "object")
+#: Share of words without which two names aren't compared at all.
+LEAST = 0.45
 
 
 def words(name: str) -> list[str]:
-    """The words of a key's last part, however they are joined, with synonyms made one."""
+    """The words of a key's last part, however they are joined."""
     last = name.rsplit(".", 1)[-1]
     parts = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", last) if not last.isupper() else last
-    found = [w.lower() for w in re.split(r"[^0-9A-Za-z]+", parts) if w]
-    return [s for w in found if (s := SYNONYMS.get(w, w))] or [last.lower()]
+    return [w.lower() for w in re.split(r"[^0-9A-Za-z]+", parts) if w] or [last.lower()]
 
 
 def _trigrams(word: str) -> set[str]:
@@ -69,6 +42,7 @@ def _trigrams(word: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
+@lru_cache(1 << 16)
 def _alike(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -76,77 +50,117 @@ def _alike(a: str, b: str) -> float:
     return len(x & y) / len(x | y) * 0.8
 
 
-_TARGET_NAMES = list(TARGETS)
-_TARGET_WORDS = [words(TARGETS[t][0]) for t in _TARGET_NAMES]
+@dataclass
+class Corpus:
+    """What all bodies together tell: of each field the share of each JSON type under its own name."""
+
+    kinds: dict[str, dict[str, float]] = field(default_factory=dict)
+
+
+@dataclass
+class Graphs:
+    """A schema's graph, the targets', and which pairs of nodes can be joined at all."""
+
+    targets: list[str]
+    key_word: np.ndarray
+    target_word: np.ndarray
+    word: np.ndarray  # initial scores of pairs of words
+    key_kind: np.ndarray
+    target_kind: np.ndarray
+    key_parent: np.ndarray  # the last place is the root
+    target_parent: np.ndarray
+    able: np.ndarray
+
+
+def _incidence(lists: list[list[str]], names: list[str]) -> np.ndarray:
+    place = {w: i for i, w in enumerate(names)}
+    out = np.zeros((len(lists), len(names)))
+    for i, some in enumerate(lists):
+        out[i, [place[w] for w in some]] = 1
+    return out
+
+
+def _parents(names: list[str]) -> np.ndarray:
+    place = {k: i for i, k in enumerate(names)}
+    out = np.zeros((len(names), len(names) + 1))
+    for i, k in enumerate(names):
+        out[i, place.get(k.rsplit(".", 1)[0], len(names)) if "." in k else len(names)] = 1
+    return out
+
+
+def graphs(keys: list[tuple[str, str]], beside: list[set[str]] | None = None, corpus: Corpus | None = None) -> Graphs:
+    """``keys``: (path, JSON type); ``beside``: per key the fields that it stands beside, under their own names, in some body."""
+    beside = beside or [set() for _ in keys]
+    known = [k for (k, _), b in zip(keys, beside, strict=True) if b >= set(FIELDS) and k not in FIELDS and k not in OTHERS]
+    targets = [*FIELDS, *OTHERS, *known]
+    key_words, target_words = [words(k) for k, _ in keys], [words(t) for t in targets]
+    vocab, wanted = sorted({w for ws in key_words for w in ws}), sorted({w for ws in target_words for w in ws})
+    word = np.array([[_alike(a, b) for b in wanted] for a in vocab])
+    key_word, target_word = _incidence(key_words, vocab), _incidence(target_words, wanted)
+    kinds = dict(keys)
+    shares = [(corpus.kinds.get(t, {}) if corpus and t in FIELDS else {kinds[t]: 1.0} if t in kinds else {}) or dict.fromkeys(KINDS, 1 / len(KINDS)) for t in targets]
+    able = np.zeros((len(keys), len(targets)), bool)
+    for i, (k, _) in enumerate(keys):
+        for j, t in enumerate(targets):
+            if t in FIELDS:
+                able[i, j] = k == t or (t not in beside[i] and _named(word, key_word[i], target_word[j]) >= LEAST)
+            else:  # one of the others is known by all of its words
+                able[i, j] = k == t or (t in OTHERS and set(key_words[i]) == set(target_words[j]))
+    return Graphs(
+        targets, key_word, target_word, word, _incidence([[kind] for _, kind in keys], list(KINDS)), np.array([[s.get(x, 0.0) for x in KINDS] for s in shares]), _parents([k for k, _ in keys]), _parents(targets), able
+    )
+
 
+def _named(word: np.ndarray, key: np.ndarray, target: np.ndarray) -> float:
+    return float(key @ word @ target / max(key.sum(), target.sum()))
 
-def flood(keys: list[tuple[str, str]], rounds: int = 40, eps: float = 1e-4) -> np.ndarray:
-    """Fixpoint similarities of keys (name, JSON type) with the targets.
 
-    Map pairs are (key, target), (word, word), (type, type) and (parent, parent). In each round a pair passes
-    its score on to the pairs it is joined with, divided by how many of a kind it feeds; the initial scores are added again and all is
-    scaled to a greatest of 1, until nothing moves.
+def flood(g: Graphs, rounds: int = 100, eps: float = 1e-3) -> np.ndarray:
+    """Fixpoint similarities of keys with targets.
+
+    Nodes are the pairs (key, target), (word, word), (type, type) and (parent, parent), the latter pairs of keys themselves or of
+    the roots. Only words and types begin with a score, by their spelling. In each round every pair passes its
+    score on along the edges of the two graphs, divided by how many pairs of a kind it feeds; what comes in is added to what it began with, and
+    each kind is scaled to a greatest of 1, until nothing moves.
     """
-    n, m = len(keys), len(_TARGET_NAMES)
-    key_words = [words(k) for k, _ in keys]
-    vocab = sorted({w for ws in key_words for w in ws})
-    wanted = sorted({w for ws in _TARGET_WORDS for w in ws})
-    word0 = np.array([[_alike(a, b) for b in wanted] for a in vocab])
-    has = np.array([[w in ws for w in vocab] for ws in key_words], float)
-    needs = np.array([[w in ws for w in wanted] for ws in _TARGET_WORDS], float)
-    fit = np.array([[_SUITS.get((TARGETS[t][1], kind), 0.0) for t in _TARGET_NAMES] for _, kind in keys])
-    parent = np.zeros((n, n))
-    place = {k: i for i, (k, _) in enumerate(keys)}
-    for i, (k, _) in enumerate(keys):
-        if "." in k and k.rsplit(".", 1)[0] in place:
-            parent[i, place[k.rsplit(".", 1)[0]]] = 1
-
-    sizes = has.sum(1)[:, None] + needs.sum(1)[None, :]
-
-    def named(word: np.ndarray) -> np.ndarray:
-        """Of each key and target the share of words that have a partner, by the words' scores."""
-        of_key = has @ (word[:, None, :] * needs[None, :, :]).max(axis=2)
-        of_target = (has[:, :, None] * word[None, :, :]).max(axis=1) @ needs.T
-        return (of_key + of_target) / sizes
-
-    # a key is taken for one of the other targets on all of its words only, else for the field first
-    share = named(word0)
-    other = np.array([t not in FIELDS for t in _TARGET_NAMES])
-    first = (0.85 * share + 0.15 * fit) * np.where(other[None, :] & (share < 0.999), 0.75, 1.0)
-    score, word = first.copy(), word0.copy()
+    n, m = g.able.shape
+    score, word, kind = np.zeros((n, m)), g.word.copy(), np.eye(len(KINDS))
+    kind[0, 1] = kind[1, 0] = 0.5  # both are numbers
+    first = kind.copy()
+    longest = np.maximum(g.key_word.sum(1)[:, None], g.target_word.sum(1)[None, :])
+    both = np.zeros((n + 1, m + 1))
+    both[n, m] = 1
+    top = lambda x: x / max(x.max(initial=0), 1e-9)
+    fed_words = np.maximum(1, g.key_word.sum(0)[:, None] * g.target_word.sum(0)[None, :])
+    fed_kinds = np.maximum(1, g.key_kind.sum(0)[:, None] * np.maximum(1, (g.target_kind > 0).sum(0))[None, :])
+    by_word, by_kind = g.word / fed_words, first / fed_kinds
     for _ in range(rounds):
-        # a pair of words is fed by the pairs of keys that have them, and the other way round
-        fed_words = has.T @ score @ needs / np.maximum(1, has.sum(0))[:, None] / np.maximum(1, needs.sum(0))[None, :]
-        # a nested key takes over nothing of what its parent already carries
-        fed = named(word) + 0.15 * fit - 0.6 * parent @ score
-        new_word = word0 + 0.25 * fed_words * word0
-        new = first + 0.5 * np.maximum(fed, 0) * np.where(other[None, :] & (share < 0.999), 0.75, 1.0)
-        new, new_word = new / max(new.max(), 1e-9), new_word / max(new_word.max(), 1e-9)
-        moved = np.abs(new - score).max()
-        score, word = new, new_word
+        both[:n, :m] = score
+        came = g.key_word @ word @ g.target_word.T / longest + 0.3 * g.key_kind @ kind @ g.target_kind.T + 0.2 * g.key_parent @ both @ g.target_parent.T
+        new = top(came * g.able)
+        new_word = top(g.word + by_word * (g.key_word.T @ score @ g.target_word))
+        new_kind = top(first + by_kind * (g.key_kind.T @ score @ g.target_kind))
+        moved = max(np.abs(new - score).max(initial=0), np.abs(new_word - word).max(initial=0))
+        score, word, kind = new, new_word, new_kind
         if moved < eps:
             break
     return score
 
 
-def matched(keys: list[tuple[str, str]], least: float = 0.45) -> dict[str, str]:
-    """Field -> key: the best pairs first, each key and each target once, none under ``least``.
-
-    A key that names a nested object's part loses to the object itself where both fit one target.
-    """
+def matched(keys: list[tuple[str, str]], beside: list[set[str]] | None = None, corpus: Corpus | None = None) -> dict[str, str]:
+    """Field -> key: the pairs of the highest scores first, each key and each target once."""
     if not keys:
         return {}
-    score = flood(keys)
+    g = graphs(keys, beside, corpus)
+    score = flood(g)
     found, used = {}, set()
-    order = np.dstack(np.unravel_index(np.argsort(-score, axis=None, kind="stable"), score.shape))[0]
-    for i, j in order:
-        name, target = keys[i][0], _TARGET_NAMES[j]
-        if score[i, j] < least:
+    for i, j in np.dstack(np.unravel_index(np.argsort(-score, axis=None, kind="stable"), score.shape))[0]:
+        name, target = keys[i][0], g.targets[j]
+        if score[i, j] <= 0:
             break
-        if name in used or target in found:
-            continue
-        found[target] = name
-        used.add(name)
+        if name not in used and target not in found:
+            found[target] = name
+            used.add(name)
     return {t: k for t, k in found.items() if t in FIELDS}
 
 
@@ -197,13 +211,40 @@ def _parse(bodies: pd.Series) -> pd.DataFrame:
     )
 
 
-def _match_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [matched([tuple(k) for k in json.loads(s)]) for s in batch["signature"]]
-        yield pd.DataFrame({"signature": batch["signature"]} | {f"{f}_key": [x.get(f) for x in found] for f in FIELDS})
+def _match_all(corpus: Corpus) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for signature, seen in zip(batch["signature"], batch["seen"], strict=True):
+                beside = {x["name"]: {f for f in FIELDS if x[f]} for x in seen}
+                keys = [tuple(k) for k in json.loads(signature)]
+                found.append(matched(keys, [beside.get(k, set()) for k, _ in keys], corpus))
+            yield pd.DataFrame({"signature": batch["signature"]} | {f"{f}_key": [x.get(f) for x in found] for f in FIELDS})
+
+    return run
 
 
-def _named(column: str) -> Callable[[Column], Column]:
+def _found_keys(rows: DataFrame) -> DataFrame:
+    """``signature`` and per field the key that carries it, each distinct schema matched once.
+
+    First all bodies are asked which keys stand beside a field that has its own name, and how that field's values are typed: since at
+    most one key of a body carries a field, a key beside it is another. The names stay in Spark; only the types' counts,
+    fields x types, come to the driver.
+    """
+    names = F.transform("keys__", lambda k: k["name"])
+    has = [F.array_contains(names, f).alias(f) for f in FIELDS]
+    each = rows.select(*has, F.explode("keys__").alias("k"))
+    counted = each.where(F.col("k.name").isin(*FIELDS)).groupBy("k.name", "k.kind").count().collect()
+    corpus = Corpus({f: {r["kind"]: r["count"] / sum(x["count"] for x in counted if x["name"] == f) for r in counted if r["name"] == f} for f in FIELDS})
+    beside = each.groupBy(F.col("k.name").alias("name")).agg(*(F.max(f).alias(f) for f in FIELDS))
+    schemas = rows.groupBy("signature").agg(F.first("keys__").alias("keys__")).select("signature", F.explode_outer(F.transform("keys__", lambda k: k["name"])).alias("name"))
+    seen = schemas.join(beside, "name", "left").groupBy("signature").agg(F.collect_list(F.struct("name", *FIELDS)).alias("seen"))  # one schema's keys
+    # few bytes but much work a row: by number, so that the small partitions aren't coalesced into one task
+    spread = seen.repartition(width(rows.sparkSession))
+    return spread.mapInPandas(_match_all(corpus), "signature string, " + ", ".join(f"{f}_key string" for f in FIELDS))
+
+
+def _with_name(column: str) -> Callable[[Column], Column]:
     return lambda key: key["name"] == F.col(column)
 
 
@@ -222,13 +263,10 @@ def unified(files: DataFrame, body: str = "body") -> DataFrame:
     kept = [c for c in files.columns if c != body and c not in added]
     parsed = F.pandas_udf(_parse, _PARSED).asNondeterministic()  # else the filter below would run it again
     rows = cut(files.select(*kept, parsed(F.col(body)).alias("p")).where("p.ok").select(*kept, F.col("p.keys").alias("keys__"), F.col("p.signature").alias("signature")), "bodies")
-    # few bytes but much work a row: by number, so that the small partitions aren't coalesced into one task
-    schemas = rows.select("signature").distinct().repartition(width(files.sparkSession))
-    found = schemas.mapInPandas(_match_all, "signature string, " + ", ".join(f"{f}_key string" for f in FIELDS))
-    joined = rows.join(found, "signature", "left")
+    joined = rows.join(_found_keys(rows), "signature", "left")
     cols = []
     for f in FIELDS:
-        hit = F.get(F.filter("keys__", _named(f"{f}_key")), F.lit(0))
+        hit = F.get(F.filter("keys__", _with_name(f"{f}_key")), F.lit(0))
         value = hit["value"]
         if f == "encoding":
             inner = F.coalesce(F.get_json_object(value, "$.name"), F.get_json_object(value, "$[0]"))

@@ -93,3 +93,34 @@ def test_long_series_over_many_partitions_with_ties(spark):
                     want += [(i, f, "renamed")] * (x[0] != was[0]) + [(i, f, "retyped")] * (x[1] != was[1])
         last[s] = now
     assert got == sorted(want)
+
+
+def test_fields_come_from_the_flood(spark, monkeypatch):
+    """Without a round no pair of keys has a score, and nothing is found."""
+    honest = drift.flood
+    monkeypatch.setattr(drift, "flood", lambda g: honest(g, rounds=0))
+    assert drift.matched([("format_version", "int"), ("stride", "int")]) == {}
+
+
+def test_types_and_nesting_decide_between_like_names():
+    """Two keys as like a field by their words: the one whose values are typed like the field's, or that isn't nested, carries it."""
+    corpus = drift.Corpus({"stride": {"int": 0.7, "float": 0.3}, "encoding": {"object": 1.0}})
+    assert drift.matched([("aStride", "string"), ("bStride", "float")], None, corpus) == {"stride": "bStride"}
+    assert drift.matched([("a_encoding", "string"), ("b_encoding", "object")], None, corpus) == {"encoding": "b_encoding"}
+    assert drift.matched([("a", "object"), ("a.rowStride", "int"), ("cellStride", "int")]) == {"stride": "cellStride"}
+
+
+def test_a_key_beside_a_field_is_another(spark):
+    """A name that stands beside the field's own in one body carries it in no other; no list of names says so."""
+    beside = {"record_bytes": 8, "stride": 8, "encoding": "x", "format_version": 2, "record_count": 5, "format_note": "n"}
+    table = run(spark, [beside, {"record_count": 7, "format_note": "m"}, {"bytes_per_record": 8, "record_count": 1}])
+    got = {r["file_id"]: r for r in table.collect()}
+    assert got[0]["record_bytes_key"] == "record_bytes" and got[2]["record_bytes_key"] == "bytes_per_record"
+    assert all(got[1][f"{f}_key"] is None for f in drift.FIELDS)
+
+
+def test_schemas_are_matched_to_a_fixpoint():
+    g = drift.graphs([("formatVersion", "int"), ("mask_encoding", "array"), ("layout", "object"), ("layout.stride", "int")])
+    import numpy as np
+
+    assert np.allclose(drift.flood(g, 200, 1e-9), drift.flood(g, 400, 1e-9), atol=1e-6) and drift.flood(g).max() == 1
