@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellforge.session import cut
+
 #: Rows of both copies that one bucket holds on average; a bucket is one task's Arrow table.
 BUCKET_ROWS = 100_000
 
@@ -26,12 +28,17 @@ def as_number(col: Column) -> Column:
     no number stays as it is, trimmed.
     """
     bare = F.regexp_replace(col.cast("string"), _GROUPING, "")
-    whole = F.regexp_extract(bare, r"^([+-]?)0*(\d+?)(?:\.0*)?$", 2)
-    minus = F.when(bare.startswith("-") & (whole != "0"), "-").otherwise("")
-    fraction = F.regexp_replace(F.regexp_replace(bare, r"^([+-]?)0*(?=\d)", "$1"), r"(\.\d*?)0+$", "$1")
-    plain = F.when(whole != "", F.concat(minus, whole))
-    exponent = F.when(bare.rlike(r"^[+-]?\d+(\.\d+)?[eE][+-]?\d{1,2}$"), bare.try_cast("double").try_cast("decimal(38,0)").cast("string"))
-    return F.coalesce(plain, exponent, F.when(bare.rlike(r"^[+-]?\d+\.\d+$"), F.regexp_replace(fraction, r"^\+", "")), F.trim(col.cast("string")))
+    part = lambda n: F.regexp_extract(bare, r"^([+-]?)(\d+)(?:\.(\d*))?(?:[eE]([+-]?\d{1,3}))?$", n)
+    shift = F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))
+    # the digits with zeros enough on either side for the point to move, so that no number goes through a double
+    left = F.concat(F.repeat(F.lit("0"), F.greatest(-shift, F.lit(0))), part(2))
+    right = F.concat(part(3), F.repeat(F.lit("0"), F.greatest(shift, F.lit(0))))
+    digits, point = F.concat(left, right), F.length(left) + shift
+    whole = F.regexp_replace(F.substring(digits, F.lit(1), point), r"^0+(?=\d)", "")
+    fraction = F.regexp_replace(F.substring(digits, point + 1, F.length(digits)), "0+$", "")
+    number = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+    signed = F.concat(F.when((part(1) == "-") & (number != "0"), "-").otherwise(""), number)
+    return F.when(part(2) != "", signed).otherwise(F.trim(col.cast("string")))
 
 
 def as_path(col: Column) -> Column:
@@ -43,19 +50,42 @@ def as_is(col: Column) -> Column:
     return col.cast("string")
 
 
-def one_per_key(df: DataFrame, key: str, columns: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """One row per key: each column's least and greatest value and whether a null is among them.
+def tidy(df: DataFrame, key: str, columns: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    return df.select(F.col(key).cast("bigint").alias("k"), *(make(F.col(c)).alias(c) for c, make in columns.items()))
+
+
+def one_per_key(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per key: its row's values, and whether the key has ``many`` unlike rows, of which the values say nothing.
 
     Equal repetitions leave no trace. The aggregation is combined before the shuffle, so a key that
     holds a third of the rows costs no more than another.
     """
-    tidy = df.select(F.col(key).cast("bigint").alias("k"), *(make(F.col(c)).alias(c) for c, make in columns.items()))
-    aggs = []
-    for c in columns:
-        aggs += [F.min(c).alias(f"{c}__lo"), F.max(c).alias(f"{c}__hi"), F.max(F.col(c).isNull()).alias(f"{c}__null")]
-    return tidy.groupBy("k").agg(*aggs)
+    row = F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
+    return rows.groupBy("k").agg(*(F.min(c).alias(c) for c in columns), (F.min(row) != F.max(row)).alias("many"))
 
 
+def _unlike_rows(sides: list[DataFrame], keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The diffs of keys that have unlike rows on a side, by sets: a column differs where its values do. Where the rows differ and no
+    single column does, since only what stands together is another, every column that isn't the same in all rows of one side does.
+
+    Rows, then (key, column, value), are the grouping keys, so a key of any number of rows is spread; it comes down to
+    one row for each column.
+    """
+    both = [s.join(keys, "k", "left_semi").withColumn("side", F.lit(1 << i)) for i, s in enumerate(sides)]
+    rows = both[0].unionByName(both[1]).groupBy("k", *columns).agg(F.bit_or("side").alias("side"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("diff"), F.col(c).alias("value")) for c in columns))).alias("x")
+    alone = (F.col("side") != 3).cast("int")
+    each = rows.select("k", "side", alone.alias("alone"), pairs).select("k", "side", "alone", "x.*")
+    values = each.groupBy("k", "diff", "value").agg(F.bit_or("side").alias("side"), F.max("alone").alias("alone"))
+    least = lambda side: F.min(F.when(F.col("side").bitwiseAND(F.lit(side)) != 0, F.col("value")))
+    told = values.groupBy("k", "diff").agg(F.max(alone).alias("apart"), (F.sum("alone") > 1).alias("varied"), least(1).alias("primary_value"), least(2).alias("mirror_value"))
+    some = told.groupBy("k").agg(F.max("apart").alias("any_apart"))
+    hit = told.join(some, "k").where("apart = 1 or (any_apart = 0 and varied)")
+    return hit.select(F.col("k").alias("row_key"), "diff", "primary_value", "mirror_value")
+
+
+#: Marks a key whose rows are compared as sets; never in the result.
+_MANY = "\0many"
 _OUT = pa.schema([("row_key", pa.int64()), ("diff", pa.string()), ("primary_value", pa.string()), ("mirror_value", pa.string())])
 
 
@@ -94,14 +124,14 @@ def _compare(columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
             if n:  # nothing can be aligned with a null key
                 out.append(pa.table([pa.nulls(1, pa.int64()), pa.array([diff]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string())], schema=_OUT))
         left, right = a.filter(pa.array(there)), b.take(pa.array(at[there]))
+        single = ~(left["many"].to_numpy() | right["many"].to_numpy())
+        out.append(rows(left["k"].to_numpy()[~single], _MANY))
         for c in columns:
-            bad = np.zeros(left.num_rows, bool)
-            for part in ("lo", "hi", "null"):
-                bad |= differs(left[f"{c}__{part}"], right[f"{c}__{part}"])
+            bad = differs(left[c], right[c]) & single
             if bad.any():
                 mask = pa.array(bad)
                 hit = left.filter(mask)
-                out.append(rows(hit["k"].to_numpy(), c, hit[f"{c}__lo"].combine_chunks(), right.filter(mask)[f"{c}__lo"].combine_chunks()))
+                out.append(rows(hit["k"].to_numpy(), c, hit[c].combine_chunks(), right.filter(mask)[c].combine_chunks()))
         return pa.concat_tables(x.cast(_OUT) for x in out)
 
     return compare
@@ -115,13 +145,17 @@ def table_diff(primary: DataFrame, mirror: DataFrame, key: str, columns: dict[st
     how to bring it to one notation; other columns, and columns that only one side has, aren't read.
 
     A null differs from a value and not from a null. Repeated equal rows of a key don't matter; where
-    one side repeats a key with unlike values, a column differs unless the other side has the same
-    least and greatest value and nulls as well. Rows with a null key are reported once per side as
-    missing on the other. An empty side makes every key of the other missing; two empty ones give an
+    one side repeats a key with unlike values, the sides are compared as sets of rows (``_unlike_rows``). Rows with a
+    null key are reported once per side as missing on the other. An empty side makes every key of the other missing; two empty ones give an
     empty result. Texts are compared whole, whatever their length.
     """
-    sides = [one_per_key(side, key, columns) for side in (primary, mirror)]
+    names = list(columns)
+    sides = [tidy(side, key, columns) for side in (primary, mirror)]
     rows = primary.count() + mirror.count()
     buckets = max(primary.sparkSession.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
-    bucketed = [s.withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")).groupBy("bucket") for s in sides]
-    return bucketed[0].cogroup(bucketed[1]).applyInArrow(_compare(list(columns)), "row_key bigint, diff string, primary_value string, mirror_value string")
+    bucketed = [one_per_key(s, names).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")).groupBy("bucket") for s in sides]
+    found = cut(bucketed[0].cogroup(bucketed[1]).applyInArrow(_compare(names), "row_key bigint, diff string, primary_value string, mirror_value string"), "diffs")
+    many = found.where(F.col("diff") == _MANY)
+    if many.isEmpty():
+        return found
+    return found.where(F.col("diff") != _MANY).unionByName(_unlike_rows(sides, many.select(F.col("row_key").alias("k")), names))

@@ -96,17 +96,19 @@ _STREAM_SQL = {
 _POLY_SQL = {"dataset_id": "dataset_id", "cells": "cells", "w": "CAST(w AS BIGINT)", "h": "CAST(h AS BIGINT)", "size": "CAST(size AS BIGINT)"}
 
 
+_SIDES_SQL = "WITH " + ",\n".join(
+    (
+        _side_sql("a_streams", "streams", "stream_id", _STREAM_SQL),
+        _side_sql("b_streams", "streams_mirror", "stream_id", _STREAM_SQL),
+        _side_sql("a_polys", "polys", "poly_id", _POLY_SQL),
+        _side_sql("b_polys", "polys_mirror", "poly_id", _POLY_SQL),
+    )
+)
+
+
 @query(
     "p5_found",
-    "WITH "
-    + ",\n".join(
-        (
-            _side_sql("a_streams", "streams", "stream_id", _STREAM_SQL),
-            _side_sql("b_streams", "streams_mirror", "stream_id", _STREAM_SQL),
-            _side_sql("a_polys", "polys", "poly_id", _POLY_SQL),
-            _side_sql("b_polys", "polys_mirror", "poly_id", _POLY_SQL),
-        )
-    )
+    _SIDES_SQL
     + "\n"
     + _diff_sql("streams", "stream_id", _STREAM_SQL)
     + "\nUNION ALL "
@@ -116,6 +118,25 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return _both_diffs(spark, d).select("tbl", "row_key", "diff").where("row_key is not null")
 
 
+def _cells_sql(tbl: str, key: str, columns: dict[str, str]) -> str:
+    """The lines of ``_diff_sql`` with the values of fields that need no notation of their own; for paths and counts only whether they are there."""
+    plain = lambda c, side: f"CASE WHEN {side}.{c} IS NULL THEN NULL ELSE 'given' END" if c in ("stream_path", "record_count") else f"CAST({side}.{c} AS VARCHAR)"
+    fields = "\n".join(
+        f"UNION ALL SELECT '{tbl}', a.{key}, '{c}', {plain(c, 'a')}, {plain(c, 'b')} FROM a_{tbl} a JOIN b_{tbl} b USING ({key}) WHERE a.{c} IS DISTINCT FROM b.{c}" for c in columns
+    )
+    return f"""SELECT '{tbl}' AS tbl, {key} AS row_key, 'missing_in_mirror' AS diff, CAST(NULL AS VARCHAR) AS primary_value, CAST(NULL AS VARCHAR) AS mirror_value FROM a_{tbl}
+    WHERE {key} NOT IN (SELECT {key} FROM b_{tbl})
+    UNION ALL SELECT '{tbl}', {key}, 'missing_in_primary', NULL, NULL FROM b_{tbl} WHERE {key} NOT IN (SELECT {key} FROM a_{tbl})
+    {fields}"""
+
+
+@query("p5_values", _SIDES_SQL + "\n" + _cells_sql("streams", "stream_id", _STREAM_SQL) + "\nUNION ALL " + _cells_sql("polys", "poly_id", _POLY_SQL))
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """``p5_cells`` with no more than 'given' for paths and counts, whose notation SQL doesn't share."""
+    told = lambda c: F.when(F.col("diff").isin("stream_path", "record_count") & F.col(c).isNotNull(), "given").otherwise(F.col(c)).alias(c)
+    return _both_diffs(spark, d).where("row_key is not null").select("tbl", "row_key", "diff", told("primary_value"), told("mirror_value"))
+
+
 @query("p5_cells")
 def p5_cells(spark: SparkSession, d: str) -> DataFrame:
     """The same with the two values of each differing field."""

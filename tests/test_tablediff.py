@@ -15,7 +15,7 @@ def diff(spark, a, b):
 @pytest.mark.parametrize(
     "text, number",
     [("12", "12"), (" 12 ", "12"), ("+12", "12"), ("000012", "12"), ("12.0", "12"), ("12.000", "12"), ("1,234,567", "1234567"), ("1 234", "1234"), ("0", "0"), ("-0", "0"), ("-7", "-7"),
-     ("12.50", "12.5"), ("9" * 40, "9" * 40), ("", ""), ("1.2e3", "1200"), ("many", "many"), ("sys", "sys"), (None, None)],
+     ("12.50", "12.5"), ("9" * 40, "9" * 40), ("", ""), ("1.2e3", "1200"), ("9007199254740993e0", "9007199254740993"), ("12345678901234567890e0", "12345678901234567890"), ("-1.50E-3", "-0.0015"), ("1200e-2", "12"), ("0.00e5", "0"), ("1e3x", "1e3x"), ("5.", "5"), ("many", "many"), ("sys", "sys"), (None, None)],
 )
 def test_numbers_in_one_notation(spark, text, number):
     assert spark.createDataFrame([(text,)], "n string").select(t.as_number(F.col("n"))).first()[0] == number
@@ -42,6 +42,19 @@ def test_repeated_rows(spark):
     assert diff(spark, twice, twice[::-1]) == []
 
 
+def test_unlike_rows_of_a_key_are_sets(spark):
+    row = lambda p, n, v: (1, p, n, v, "")
+    three = [row("a", n, 1) for n in ("1", "2", "3")]
+    assert diff(spark, three, [three[0], three[2]]) == [(1, "n")]
+    assert diff(spark, three, three[::-1] * 3) == []
+    assert diff(spark, three, [*three, row("a", None, 1)]) == [(1, "n")]
+    # which values stand in one row counts too
+    assert diff(spark, [row("a", "1", 1), row("b", "2", 1)], [row("a", "2", 1), row("b", "1", 1)]) == [(1, "n"), (1, "path")]
+    assert diff(spark, [row("a", None, 1), row("b", "2", 1)], [row("a", "2", 1), row("b", None, 1)]) == [(1, "n"), (1, "path")]
+    # other keys beside such a one are compared as ever
+    assert diff(spark, [*three, (2, "a", "1", 1, "")], [*three[:2], (2, "a", "1", 2, "")]) == [(1, "n"), (2, "v")]
+
+
 def test_null_keys_match_nothing(spark):
     row = (None, "a", "5", 1, "")
     assert diff(spark, [row, row], [row]) == [(None, "missing_in_mirror"), (None, "missing_in_primary")]
