@@ -52,10 +52,25 @@ def p1_answers(spark: SparkSession, d: str) -> DataFrame:
     return _answers(spark, d)
 
 
-@query(
-    "p1_error_rate",
-    f"SELECT tbl, count(*) AS n_rows, count(*) FILTER (seen) AS n_seen, CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS DOUBLE) AS wrong_rate FROM ({_ALL_SEEN}) GROUP BY tbl",
-)
+@query("p1_batches", _seen_sql("shapes", "cells", "record_id"))
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The answers for shapes in two batches, of which the later finds the earlier one's keys in the stored index."""
+    rows = table(spark, d, "shapes").select("record_id", "dataset_id", "cells")
+    ends = rows.agg(F.min("record_id").alias("a"), F.max("record_id").alias("b")).first()
+    half = ((ends["a"] or 0) + (ends["b"] or 0)) // 2
+    early, index = seen.seen_with(rows.where(F.col("record_id") <= half), ["dataset_id", "cells"], "record_id")
+    late, _ = seen.seen_with(rows.where(F.col("record_id") > half), ["dataset_id", "cells"], "record_id", index)
+    return early.unionByName(late).select(F.lit("shapes").alias("tbl"), "*")
+
+
+def _wrong_sql(name: str, key: str, order: str) -> str:
+    """Two ways to the answers, by window and by join with the least order, held against each other."""
+    return f"""SELECT '{name}' AS tbl, count(*) AS n_rows, count(*) FILTER (a.seen) AS n_seen, count(*) FILTER (a.seen <> (a.row_id > f.first)) AS n_wrong,
+    count(*) FILTER (a.seen <> (a.row_id > f.first)) / count(*) AS wrong_rate FROM ({_seen_sql(name, key, order)}) a JOIN {name} r ON r.{order} = a.row_id
+    JOIN (SELECT dataset_id, {key}, min({order}) AS first FROM {name} GROUP BY ALL) f ON f.dataset_id = r.dataset_id AND f.{key} = r.{key}"""
+
+
+@query("p1_error_rate", _wrong_sql("shapes", "cells", "record_id") + " UNION ALL " + _wrong_sql("landmarks", "mask", "landmark_id"))
 def p1_error_rate(spark: SparkSession, d: str) -> DataFrame:
     """The answers held against the truth, per table."""
     parts = []

@@ -70,6 +70,55 @@ def test_repeated_and_tied_rows(spark):
     assert answers(spark, rows) == brute(rows)
 
 
+def test_one_answer_for_each_row(spark):
+    """However rows are split, repeated ones are neither folded away nor multiplied."""
+    rows = [(1, "a", 0, 0, None)] * 40 + [(2, "a", 0, 0, None)] * 7 + [(2, "b", 0, 0, None)] * 4 + [(3, "b", 0, 0, None)] * 900
+    for parts, batch in ((1, 5), (7, 1 << 17), (3, 1)):
+        got = seen.seen_before(spark.createDataFrame(rows, SCHEMA).repartition(parts), ["k"], "id", batch_rows=batch).groupBy("row_id", "seen").count().collect()
+        assert sorted(map(tuple, got)) == [(1, False, 40), (2, False, 4), (2, True, 7), (3, True, 900)]
+
+
+def test_one_order_over_many_batches():
+    """Ties are answered as they come, and only their keys are kept until the order moves on."""
+    held = seen._Arrivals(64)
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.integers(0, 50, n).astype(np.int64)
+    truth, seen_keys, fresh, last = [], set(), set(), None
+    for order in (1, 1, 1, 2, 3, 3):
+        h = draw(20)
+        if order != last:
+            seen_keys |= fresh
+            fresh, last = set(), order
+        truth = [int(x) in seen_keys for x in h]
+        fresh |= set(h.tolist())
+        assert held.answer(h, np.full(20, order)).tolist() == truth
+    h, row = draw(30), np.sort(rng.integers(3, 8, 30))
+    want = []
+    for x, r in zip(h.tolist(), row.tolist()):
+        want.append(x in seen_keys or any(y == x and q < r for y, q in zip(h.tolist(), row.tolist())) or (r > 3 and x in fresh))
+    assert held.answer(h, row).tolist() == want
+
+
+def test_runs_are_stored():
+    v = np.unique(np.random.default_rng(3).integers(0, 2**50, 9000, dtype=np.uint64))
+    e = seen.EliasFano.from_bytes(seen.EliasFano(v, 50).to_bytes())
+    assert (e.decode() == v).all() and e.successor(v)[1].all()
+    assert seen.EliasFano.from_bytes(seen.EliasFano(v[:0], 50).to_bytes()).n == 0
+
+
+def test_batches_against_a_stored_index(spark):
+    """Later batches find earlier keys without the rows they came from, also after the partitions were halved."""
+    rnd = random.Random(7)
+    rows = [(i, rnd.choice(["hot", None, f"k{rnd.randrange(300)}"]), 1, 2, None) for i in range(1200)]
+    got, index = [], None
+    for a, b, keys in ((0, 300, 10**6), (300, 301, 10**6), (301, 301, 10**6), (301, 1200, 40)):
+        df = spark.createDataFrame([r for r in rows if a <= r[0] < b], SCHEMA)
+        found, index = seen.seen_with(df, ["k"], "id", index, partition_keys=keys, batch_rows=64)
+        got += [(r["row_id"], r["seen"]) for r in found.collect()]
+    assert sorted(got) == brute(rows)
+    assert index.prefix >= 5 and index.runs.groupBy().sum("n").first()[0] == len({r[1] for r in rows} - {None})
+
+
 def test_empty(spark):
     assert answers(spark, []) == []
     assert answers(spark, [(None, None, 0, 0, None)]) == []
