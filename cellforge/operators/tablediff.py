@@ -27,18 +27,33 @@ def as_number(col: Column) -> Column:
     A sign, padding zeros, grouping signs, blanks and a fraction of zeros don't matter. Text that is
     no number stays as it is, trimmed.
     """
-    bare = F.regexp_replace(col.cast("string"), _GROUPING, "")
-    part = lambda n: F.regexp_extract(bare, r"^([+-]?)(\d+)(?:\.(\d*))?(?:[eE]([+-]?\d{1,3}))?$", n)
-    shift = F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))
-    # the digits with zeros enough on either side for the point to move, so that no number goes through a double
-    left = F.concat(F.repeat(F.lit("0"), F.greatest(-shift, F.lit(0))), part(2))
-    right = F.concat(part(3), F.repeat(F.lit("0"), F.greatest(shift, F.lit(0))))
-    digits, point = F.concat(left, right), F.length(left) + shift
-    whole = F.regexp_replace(F.substring(digits, F.lit(1), point), r"^0+(?=\d)", "")
-    fraction = F.regexp_replace(F.substring(digits, point + 1, F.length(digits)), "0+$", "")
-    number = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
-    signed = F.concat(F.when((part(1) == "-") & (number != "0"), "-").otherwise(""), number)
-    return F.when(part(2) != "", signed).otherwise(F.trim(col.cast("string")))
+
+    def moved(p: Column) -> Column:
+        """The digits with zeros enough on either side for the point to move, so that no number goes through a double."""
+        shift = F.coalesce(F.nullif(p["exponent"], F.lit("")).cast("int"), F.lit(0))
+        left = F.concat(F.repeat(F.lit("0"), F.greatest(-shift, F.lit(0))), p["whole"])
+        right = F.concat(p["fraction"], F.repeat(F.lit("0"), F.greatest(shift, F.lit(0))))
+        return F.struct(F.concat(left, right).alias("digits"), (F.length(left) + shift).alias("point"))
+
+    def cut_apart(p: Column) -> Column:
+        whole = F.regexp_replace(F.substring(p["digits"], F.lit(1), p["point"]), r"^0+(?=\d)", "")
+        fraction = F.regexp_replace(F.substring(p["digits"], p["point"] + 1, F.length(p["digits"])), "0+$", "")
+        return F.concat(F.when(whole == "", "0").otherwise(whole), F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)))
+
+    def written(bare: Column) -> Column:
+        names = ("sign", "whole", "fraction", "exponent")
+        parts = F.struct(*(F.regexp_extract(bare, r"^([+-]?)(\d+)(?:\.(\d*))?(?:[eE]([+-]?\d{1,3}))?$", i + 1).alias(n) for i, n in enumerate(names)))
+        number = lambda p: _let(_let(moved(p), cut_apart), lambda x: F.concat(F.when((p["sign"] == "-") & (x != "0"), "-").otherwise(""), x))
+        return _let(parts, lambda p: F.when(p["whole"] != "", number(p)))
+
+    text = F.trim(col.cast("string"))
+    bare = F.regexp_replace(text, _GROUPING, "")
+    return F.when(text.rlike(r"^[1-9]\d*$"), text).otherwise(F.coalesce(_let(bare, written), text))
+
+
+def _let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
 
 
 def as_path(col: Column) -> Column:
@@ -51,7 +66,9 @@ def as_is(col: Column) -> Column:
 
 
 def tidy(df: DataFrame, key: str, columns: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    return df.select(F.col(key).cast("bigint").alias("k"), *(make(F.col(c)).alias(c) for c, make in columns.items()))
+    """Key and columns in one notation. The array keeps them together, so that later mentions don't compute them again."""
+    made = F.struct(F.col(key).cast("bigint").alias("k"), *(make(F.col(c)).alias(c) for c, make in columns.items()))
+    return df.select(F.inline(F.array(made)))
 
 
 def one_per_key(rows: DataFrame, columns: list[str]) -> DataFrame:
