@@ -37,8 +37,10 @@ def test_words(text, want):
     assert k.words_of(text) == want
 
 
-@pytest.mark.parametrize("at_once", [8192, 7])
-def test_against_brute_force(spark, at_once):
+@pytest.mark.parametrize("segment, most", [(512, 64 << 20), (7, 64 << 20), (7, 0)])
+def test_against_brute_force(spark, monkeypatch, segment, most):
+    """In one segment or many, broadcast or read by the tasks."""
+    monkeypatch.setattr(k, "BROADCAST_BYTES", most)
     rnd = random.Random(9)
     shared = words(rnd, 14)
     items = [(i, " ".join(words(rnd, rnd.randrange(5, 60))), "s", 0) for i in range(40)]
@@ -57,7 +59,7 @@ def test_against_brute_force(spark, at_once):
         docs.append((d, rnd.choice([str.upper, html.escape, str])(text), 1, ""))
     docs += [(500, None, 1, ""), (501, "", 1, ""), (502, "z " * 12, 1, ""), (503, "z " * 11, 1, ""), (504, " ".join(words(rnd, 30_000)) + " " + " ".join(shared), 1, "")]
     want = brute(docs, items)
-    assert found(spark, docs, items, items_at_once=at_once) == want
+    assert found(spark, docs, items, segment=segment) == want
     assert len(want) > 40 and (504, 100) in want and (502, 105) in want and (503, 105) not in want
 
 
@@ -74,21 +76,70 @@ def test_length_of_runs_and_cover(spark):
     assert got[2]["longest_run"] == 40 and got[2]["covered"] == 1
 
 
+def index_of(items):
+    tokens = [(i, k.words_of(t)) for i, t in items]
+    df = Counter(w for _, ws in tokens for w in set(ws))
+    return tokens, k.build(tokens, 12, df, len(tokens), float(np.mean([len(ws) for _, ws in tokens])))
+
+
+def score(index, terms, item):
+    out = 0.0
+    for t in terms:
+        a, b = index.block_start[index.word_start[t]], index.block_start[index.word_start[t + 1]]
+        out += float(index.weight[a:b][index.item[a:b] == item].sum())
+    return out
+
+
 def test_retrieval_loses_no_passage():
-    """Every passage of every item reaches its item, and the scores are those of the formula."""
+    """Every passage of every item reaches its item, all that scores enough is retrieved, and nothing else is."""
     rnd = random.Random(1)
-    items = [(i, " ".join(words(rnd, rnd.randrange(12, 50), 40))) for i in range(50)]
-    tokens = [k.words_of(t) for _, t in items]
-    df = Counter(w for ws in tokens for w in set(ws))
-    index = k.build(items, 12, df, 50, float(np.mean([len(t) for t in tokens])))
+    tokens, index = index_of([(i, " ".join(words(rnd, rnd.randrange(12, 50), 40))) for i in range(50)])
     place = {int(i): j for j, i in enumerate(index.ids)}
-    for (i, _), ws in zip(items, tokens):
-        codes = np.array([index.vocab[w] for w in ws])
-        got = set(k.retrieve(index, codes, np.array([len(codes)])))
+    for i, ws in tokens:
+        codes = index.codes(k.hashes(ws))
+        assert codes.min() > 0
+        got = {(int(s), int(j)) for some in k.retrieve(index, codes, np.array([len(codes)])) for s, j in zip(*some)}
         assert {(s, place[i]) for s in range(len(ws) - 11)} <= got
-        for s, j in got:
+        for s in range(len(ws) - 11):
             terms = sorted(set(codes[s : s + 12].tolist()))
-            assert index.weight[terms, j].sum() >= 0.998
+            for j in range(50):
+                x = score(index, terms, j)
+                assert abs(x - 0.999) < 1e-5 or ((s, j) in got) == (x >= 0.999)
+
+
+def test_blocks_hold_the_maxima():
+    rnd = random.Random(4)
+    _, index = index_of([(i, " ".join(words(rnd, 30, 200))) for i in range(100)])
+    for e in range(len(index.block)):
+        some = slice(index.block_start[e], index.block_start[e + 1])
+        assert (index.item[some] // k.BLOCK == index.block[e]).all() and index.block_max[e] == index.weight[some].max()
+    assert index.block_max.max() <= index.most.max()
+
+
+def test_statistics_are_those_of_all_items(spark):
+    """The same scores in one segment as in many."""
+    import pickle
+
+    rnd = random.Random(8)
+    items = spark.createDataFrame([(i, " ".join(words(rnd, 20))) for i in range(60)], "item_id bigint, text string")
+    most = {}
+    for segment in (512, 9):
+        for r in k.indexed(items, 12, segment).collect():
+            index = pickle.loads(r["data"])
+            for j, i in enumerate(index.ids.tolist()):
+                most.setdefault(segment, {})[i] = np.sort(index.weight[index.item == j]).tolist()
+    assert most[512].keys() == most[9].keys() and all(np.allclose(most[512][i], most[9][i]) for i in most[9])
+
+
+def test_many_items_are_never_in_one_place(spark, monkeypatch):
+    """Twenty thousand items: the driver gets the index's size alone, and a task one segment at a time."""
+    monkeypatch.setattr(k, "BROADCAST_BYTES", 1 << 16)
+    rnd = random.Random(11)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(30)) for _ in range(20_000)]
+    items = spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], ITEMS).repartition(4)
+    docs = [(d, "x y z " + " ".join(texts[d * 37].split()[5:20]), 0, "") for d in range(200)]
+    got = sorted((r["doc_id"], r["item_id"]) for r in k.leaks(spark.createDataFrame(docs, DOCS), items).collect())
+    assert got == [(d, d * 37) for d in range(200)]
 
 
 def test_report_and_empty(spark):
