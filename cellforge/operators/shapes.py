@@ -189,25 +189,77 @@ def children(shapes: DataFrame, n: int) -> DataFrame:
     return turned.select("parent", F.col("canonical").alias("mask")).distinct().groupBy("mask").agg(F.count(F.lit(1)).alias("parents"))
 
 
+def as_of(points: DataFrame, marks: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
+    """``points`` with ``out``: of the marks of their key the last whose ``at`` isn't after theirs, as a struct of the marks' other columns; null where there is none.
+
+    Both are sorted together in range partitions, in which the last mark is carried along, and each partition's last mark is handed on
+    to the next; so a key that holds a third of the rows is spread. Of marks equal in ``at`` the last by their other columns counts. Points without a
+    key or place get none.
+    """
+    spark, rest = points.sparkSession, [c for c in marks.columns if c not in (*keys, at)]
+    place = [F.struct(*keys).alias("__key"), F.col(at).alias("__at")]
+    left = points.select(*place, F.lit(1).alias("__kind"), F.struct(*points.columns).alias("__point"), F.lit(None).cast(marks.select(F.struct(*rest).alias("m")).schema[0].dataType).alias("__mark"))
+    right = marks.dropna(subset=[*keys, at]).select(*place, F.lit(0).alias("__kind"), F.lit(None).cast(left.schema["__point"].dataType).alias("__point"), F.struct(*rest).alias("__mark"))
+    order = ["__at", "__kind", "__mark"]
+    parts = cut(left.unionByName(right).repartitionByRange(width(spark), "__key", *order).withColumn("__part", F.spark_partition_id()), "as_of")
+    before = Window.partitionBy("__key", "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.withColumn("__here", F.last("__mark", ignorenulls=True).over(before)).where("__kind = 1")
+    # per key at most one row for each part
+    tails = parts.groupBy("__key", "__part").agg(F.max_by("__mark", F.when(F.col("__mark").isNotNull(), F.struct("__at", "__mark"))).alias("tail"))
+    earlier = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    handed = tails.withColumn("__before", F.last("tail", ignorenulls=True).over(earlier)).where("__before is not null").select("__key", "__part", "__before")
+    joined = rows.join(handed, ["__key", "__part"], "left")
+    known = F.when(F.col("__at").isNotNull(), F.coalesce("__here", "__before"))
+    return joined.select("__point.*", known.alias(out))
+
+
 def asked_chunks(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each asked range [first, last] with the chunks [start, start + count) that it overlaps, and how many records of each it wants.
 
-    Both are cut into buckets as wide as the widest chunk, so the join is one of equal buckets; a pair is kept where its later start lies.
+    Chunks of one key follow each other without overlapping. The chunks in which a range begins and ends are searched as of its two ends; those
+    between are joined by their number, so a range costs as many rows as it has chunks.
     """
-    size = chunks.agg(F.max("count")).first()[0] or 1
-    spread = lambda df, a, b: df.withColumn("bucket", F.explode(F.sequence(F.floor(a / size), F.floor(b / size))))
-    left = spread(asked, F.col("first"), F.col("last"))
-    right = spread(chunks.where("count > 0"), F.col("start"), F.col("start") + F.col("count") - 1)
+    keys = [c for c in asked.columns if c in chunks.columns]
+    full = chunks.where("count > 0")
+    place = Window.partitionBy(*keys).orderBy("start")  # a key has few chunks
+    numbered = cut(full.withColumn("number", F.row_number().over(place)), "chunks")
+    marks = numbered.select(*keys, F.col("start").alias("__place"), "number")
+    began = as_of(asked.withColumn("__place", F.col("first")), marks, keys, "__place", "a").withColumn("__place", F.col("last"))
+    both = as_of(began, marks, keys, "__place", "b").drop("__place")
+    each = both.where("b is not null").withColumn("number", F.explode(F.sequence(F.coalesce("a.number", F.lit(1)), F.col("b.number")))).drop("a", "b")
     low, high = F.greatest("first", "start"), F.least(F.col("last"), F.col("start") + F.col("count") - 1)
-    both = left.join(right, [*[c for c in asked.columns if c in chunks.columns], "bucket"]).where((low <= high) & (F.floor(low / size) == F.col("bucket")))
-    return both.withColumn("wanted", high - low + 1).drop("bucket")
+    return each.join(numbered, [*keys, "number"]).where(low <= high).withColumn("wanted", high - low + 1).drop("number")
+
+
+def indexed_within(df: DataFrame, group: str, order: list[str], out: str = "global_index") -> DataFrame:
+    """``indexed`` from 0 in each group, without a task that holds one."""
+    numbered = cut(indexed(df, [group, *order], out), "numbered")
+    starts = numbered.groupBy(group).agg(F.min(out).alias("__start"))
+    return numbered.join(starts, group).withColumn(out, F.col(out) - F.col("__start")).drop("__start")
+
+
+def extracted(asked: DataFrame, numbered: DataFrame, group: str, mask: str, record: str) -> DataFrame:
+    """Each asked (group, ``global_index``) with the ``record`` that stands there as ``record_mask`` (null where none does) and whether it is the ``mask`` that was
+    expected, null where there is nothing to compare."""
+    there = numbered.select(group, "global_index", F.col(record).alias("record_mask"), F.lit(True).alias("__there"))
+    joined = asked.join(there, [group, "global_index"], "left")
+    return joined.withColumn("same", F.when(F.col("__there"), F.col(mask) == F.col("record_mask"))).drop("__there")
+
+
+def totals(rows: DataFrame, group: str, record: str, hole: str) -> DataFrame:
+    """Per group how many records it has, how many of them are different, and how many of those have a hole, none, or don't say."""
+    once = rows.groupBy(group, record).agg(F.count(F.lit(1)).alias("n"), F.max(hole).alias("hole"))
+    return once.groupBy(group).agg(
+        F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_distinct"), F.sum(F.coalesce(F.col("hole").cast("bigint"), F.lit(0))).alias("n_holes"),
+        F.sum(F.coalesce((~F.col("hole")).cast("bigint"), F.lit(0))).alias("n_without"), F.sum(F.col("hole").isNull().cast("bigint")).alias("n_unsaid"),
+    )
 
 
 def rooms(landmarks: DataFrame) -> DataFrame:
     """Landmarks as assets: their order, index, stored record, box, size and hole."""
     shaped = classified(landmarks.where("mask is not null").select("landmark_id", "label", "selection_order", "global_index", "mask"))
     return shaped.select(
-        "landmark_id", "label", "selection_order", "global_index", g.to_hex(F.col("mask")).alias("record"), F.col("w").alias("width"), F.col("h").alias("height"), F.col("cells_n").alias("size"), "hole"
+        "landmark_id", "label", "selection_order", "global_index", "mask", g.to_hex(F.col("mask")).alias("record"), F.col("w").alias("width"), F.col("h").alias("height"), F.col("cells_n").alias("size"), "hole"
     )
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cellforge.functions import geometry as g, render, wide
 from cellforge.operators import drift, heavy, shapes as sh, tablediff
-from cellforge.session import cut, table
+from cellforge.session import cut, shared_dir, table
+from cellforge.sources import packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,7 +153,25 @@ def _manifest_table(spark: SparkSession, d: str) -> DataFrame:
     return drift.unified(table(spark, d, "manifests").select("file_id", "series_id", "dataset_id", "written_at", "received_at", "body"))
 
 
-@query("p6_found")
+#: The names that carry a field in these tables, letters only. The SQL needs them; the operator finds them.
+_NAMES = {
+    "format_version": ("formatversion", "manifestversion", "version"),
+    "encoding": ("encoding", "cellsencoding", "encodingname", "maskencoding"),
+    "record_bytes": ("recordbytes", "bytesperrecord"),
+    "stride": ("stride", "rowstride", "stridecells"),
+}
+_KEYS_SQL = f"""WITH ok AS (SELECT * FROM (SELECT file_id, series_id, written_at, trim(body, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS b FROM manifests) WHERE b <> '' AND json_valid(b)),
+leaf AS (SELECT file_id, replace(substr(j.fullkey, 3), '"', '') AS name, lower(regexp_replace(j.key, '[^A-Za-z]', '', 'g')) AS letters, CASE j.type WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool'
+    WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'int' END AS kind FROM ok, json_tree(ok.b) j WHERE j.key IS NOT NULL AND j.type <> 'NULL'),
+hit AS (SELECT file_id, name, kind, CASE {" ".join(f"WHEN letters IN {names} THEN '{field}'" for field, names in _NAMES.items())} END AS field_name FROM leaf),
+grid AS (SELECT ok.file_id, series_id, written_at, f.field_name FROM ok, (VALUES {", ".join(f"('{x}')" for x in _NAMES)}) f(field_name)),
+pair AS (SELECT g.*, name, kind, lag(name) OVER w AS name0, lag(kind) OVER w AS kind0, row_number() OVER w > 1 AS follows FROM grid g LEFT JOIN hit USING (file_id, field_name)
+    WINDOW w AS (PARTITION BY series_id, g.field_name ORDER BY written_at, file_id))
+SELECT file_id, field_name, change_kind FROM pair, (VALUES ('added'), ('removed'), ('renamed'), ('retyped')) k(change_kind) WHERE follows AND CASE change_kind WHEN 'added' THEN name0 IS NULL AND name IS NOT NULL
+    WHEN 'removed' THEN name0 IS NOT NULL AND name IS NULL WHEN 'renamed' THEN name0 <> name ELSE kind0 <> kind END"""
+
+
+@query("p6_found", _KEYS_SQL)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = drift.changes(_manifest_table(spark, d), "series_id", ["written_at", "file_id"])
     return found.select("file_id", "field_name", "change_kind").distinct()
@@ -222,9 +243,23 @@ def shape_euler(spark: SparkSession, d: str) -> DataFrame:
     return _masks(spark, d).where("mask <> 0").select("record_id", g.euler(m).alias("chi"), g.holes(m).alias("holes"))
 
 
-@query("shape_holes", _bits() + _EULER + "SELECT id AS record_id, TRUE AS connected, chi <= 0 AS has_hole FROM chi")
+_SIDES4 = "(VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dr, dc)"
+#: The cells reached from one of them, and the empty places reached from outside the box, each shape once however often it is logged.
+_FLOODS = f""", shape AS (SELECT DISTINCT ON (m0) id AS rep, m0, w, h, n FROM turns),
+cell AS (SELECT rep, r, c FROM shape JOIN norm ON id = rep),
+inside AS (SELECT rep, min(r * 1000 + c) // 1000 AS r, min(r * 1000 + c) % 1000 AS c FROM cell GROUP BY rep UNION
+    SELECT i.rep, b.r, b.c FROM inside i CROSS JOIN {_SIDES4} JOIN cell b ON b.rep = i.rep AND b.r = i.r + dr AND b.c = i.c + dc),
+free AS (SELECT rep, y.r, x.c FROM shape, range(-1, 9) y(r), range(-1, 9) x(c) WHERE y.r <= h AND x.c <= w AND NOT EXISTS (SELECT 1 FROM cell k WHERE k.rep = shape.rep AND k.r = y.r AND k.c = x.c)),
+outside AS (SELECT rep, CAST(-1 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS c FROM shape UNION
+    SELECT o.rep, f.r, f.c FROM outside o CROSS JOIN {_SIDES4} JOIN free f ON f.rep = o.rep AND f.r = o.r + dr AND f.c = o.c + dc),
+flood AS (SELECT s.m0, i.k = s.n AS connected, o.k < f.k AS holed FROM shape s JOIN (SELECT rep, count(*) AS k FROM inside GROUP BY rep) i USING (rep)
+    JOIN (SELECT rep, count(*) AS k FROM outside GROUP BY rep) o USING (rep) JOIN (SELECT rep, count(*) AS k FROM free GROUP BY rep) f USING (rep))
+"""
+
+
+@query("shape_holes", _bits().replace("WITH ", "WITH RECURSIVE ", 1) + _FLOODS + "SELECT t.id AS record_id, connected, holed AS has_hole FROM turns t JOIN flood USING (m0)")
 def shape_holes(spark: SparkSession, d: str) -> DataFrame:
-    """Connectivity and holes by flooding; the SQL counts corners and edges."""
+    """Connectivity and holes by flooding, in the SQL as well."""
     m = F.col("mask")
     return _masks(spark, d).where("mask <> 0").select("record_id", g.connected(m).alias("connected"), g.has_hole_by_flood(m).alias("has_hole"))
 
@@ -292,6 +327,45 @@ def wide_shapes(spark: SparkSession, d: str) -> DataFrame:
     return at.select("record_id", wide.extent(F.col("at"), "col").alias("w"), wide.extent(F.col("at"), "row").alias("h"), F.size("at").alias("size"), wide.euler(F.col("at")).alias("chi"))
 
 
+_WIDE_TURNS = (
+    _WIDE
+    + """, box AS (SELECT record_id, min(r) AS r0, min(c) AS c0, CAST(max(r) - min(r) + 1 AS INTEGER) AS h, CAST(max(c) - min(c) + 1 AS INTEGER) AS w FROM bits GROUP BY record_id),
+    norm AS (SELECT record_id, stride, dataset_id, r - r0 AS r, c - c0 AS c, box.w, box.h FROM bits JOIN box USING (record_id) JOIN shapes USING (record_id) JOIN datasets USING (dataset_id)),
+    turns AS (SELECT record_id, dataset_id, stride, w, h, list_reverse_sort(list(r * stride + c)) AS b0, list_reverse_sort(list(c * stride + h - 1 - r)) AS b1,
+        list_reverse_sort(list((h - 1 - r) * stride + w - 1 - c)) AS b2, list_reverse_sort(list((w - 1 - c) * stride + r)) AS b3 FROM norm GROUP BY ALL)"""
+)
+
+
+def _wide_at(spark: SparkSession, d: str) -> DataFrame:
+    exports = table(spark, d, "datasets").select("dataset_id", "stride")
+    rows = table(spark, d, "shapes").where("wide_cells is not null").join(exports, "dataset_id")
+    return rows.withColumn("at", wide.cells(F.col("wide_cells"), F.col("stride")))
+
+
+@query(
+    "wide_turns",
+    _WIDE_TURNS
+    + """ SELECT record_id, array_to_string(b0, ' ') AS normal, array_to_string(least(b0, b1, b2, b3), ' ') AS canonical, w = h AND b0 = b1 AS s90, b0 = b2 AS s180,
+    CASE WHEN w = h AND b0 = b1 THEN 1 WHEN b0 = b2 THEN 2 ELSE 4 END AS weight, greatest(w, h) AS max_dim FROM turns""",
+)
+def wide_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of the shapes of wider exports: set bits from the highest, of the shape at (0, 0) and of its least turn."""
+    made = wide.turned(_wide_at(spark, d).select("record_id", "at", "stride").where("size(at) > 0"), "at", "stride")
+    return made.select("record_id", F.array_join("normal", " ").alias("normal"), F.array_join("canonical", " ").alias("canonical"), "s90", "s180", "weight", "max_dim")
+
+
+@query(
+    "wide_classes",
+    _WIDE_TURNS
+    + """ SELECT dataset_id, greatest(w, h) AS max_dim, count(DISTINCT least(b0, b1, b2, b3)) AS one_sided, count(*) AS n_records FROM turns GROUP BY ALL""",
+)
+def wide_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Per wider export and longest side the distinct shapes up to moving and turning. The least turns are made distinct before they are counted."""
+    made = wide.turned(_wide_at(spark, d).select("dataset_id", "at", "stride").where("size(at) > 0"), "at", "stride")
+    once = made.groupBy("dataset_id", "max_dim", "canonical").agg(F.count(F.lit(1)).alias("n"))
+    return once.groupBy("dataset_id", "max_dim").agg(F.count(F.lit(1)).alias("one_sided"), F.sum("n").alias("n_records"))
+
+
 # -- shapes: counting
 
 _CLASSES = (
@@ -371,14 +445,31 @@ def index_range(spark: SparkSession, d: str) -> DataFrame:
     return sh.index_range(_indexed(spark, d), 100, 5000).where(~F.col("has_hole"))
 
 
+# -- packed datasets
+
+
+@query(
+    "packed_round_trip",
+    """WITH s AS (SELECT DISTINCT has_hole AS hole, max_dimension AS max_dim, cells AS mask FROM shapes WHERE has_hole IS NOT NULL AND max_dimension IS NOT NULL AND cells IS NOT NULL)
+    SELECT hole, max_dim, mask, row_number() OVER (ORDER BY hole, max_dim, CAST(mask AS HUGEINT) + CASE WHEN mask < 0 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END) - 1 AS global_index FROM s""",
+)
+def packed_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All logged masks by class, written as a packed dataset into the shared folder and read from there. The folder must be one that tasks can open as files."""
+    rows = table(spark, d, "shapes").select(F.col("has_hole").alias("hole"), F.col("max_dimension").alias("max_dim"), F.col("cells").alias("mask")).dropna().distinct()
+    root = f"{re.sub('^file:/+', '/', shared_dir(spark))}/packed-{uuid.uuid4().hex}"
+    packed.write_dataset(cut(rows, "rows"), root, g.SIDE)
+    return packed.read_dataset(spark, root).select("hole", "max_dim", "mask", "global_index")
+
+
 # -- checks
 
 _CHECK = (
-    _bits()
+    _bits().replace("WITH ", "WITH RECURSIVE ", 1)
+    + _FLOODS
     + _EULER
     + f""", facts AS (SELECT s.*, s.cells <> 0 AS not_empty, {_SIGNED.format("t.m0")} = s.cells AS at_origin, t.w = s.w AS w_right, t.h = s.h AS h_right, t.n = s.size AS size_right,
-    greatest(t.w, t.h) = s.max_dimension AS max_dim_right, TRUE AS connected, {_SIGNED.format("least(t.m0, t.m1, t.m2, t.m3)")} = s.cells AS canonical_right,
-    (c.chi <= 0) = s.has_hole AS hole_right, TRUE AS flood_agrees FROM shapes s JOIN turns t ON s.record_id = t.id JOIN chi c ON c.id = t.id)"""
+    greatest(t.w, t.h) = s.max_dimension AS max_dim_right, f.connected, {_SIGNED.format("least(t.m0, t.m1, t.m2, t.m3)")} = s.cells AS canonical_right,
+    (c.chi <= 0) = s.has_hole AS hole_right, (c.chi <= 0) = f.holed AS flood_agrees FROM shapes s JOIN turns t ON s.record_id = t.id JOIN chi c ON c.id = t.id JOIN flood f USING (m0))"""
 )
 
 
@@ -401,7 +492,35 @@ def _wide_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "shapes").where("cells is null and wide_cells is not null").join(exports, "dataset_id", "left")
 
 
-@query("verify_records")
+#: The same facts of wider records, at any stride. Numbers are compared by their set bits from the highest.
+_WIDE_FACTS = f"""wbit AS (SELECT s.record_id AS id, d.stride, (8 * i + k) // d.stride AS r, (8 * i + k) % d.stride AS c FROM shapes s JOIN datasets d USING (dataset_id), range(2000) t(i), range(8) u(k)
+    WHERE s.cells IS NULL AND s.wide_cells IS NOT NULL AND i < length(s.wide_cells) // 2 AND (CAST('0x' || substr(s.wide_cells, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) >> CAST(k AS INTEGER)) & 1 = 1),
+wbox AS (SELECT id, stride, min(r) AS r0, min(c) AS c0, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w, count(*) AS n FROM wbit GROUP BY ALL),
+wnorm AS (SELECT b.id, b.stride, r, c, r - r0 AS y, c - c0 AS x, w, h FROM wbit b JOIN wbox USING (id)),
+wturn AS (SELECT id, list_reverse_sort(list(r * stride + c)) AS b, list_reverse_sort(list(y * stride + x)) AS b0, list_reverse_sort(list(x * stride + h - 1 - y)) AS b1,
+    list_reverse_sort(list((h - 1 - y) * stride + w - 1 - x)) AS b2, list_reverse_sort(list((w - 1 - x) * stride + y)) AS b3 FROM wnorm GROUP BY id),
+wcorner AS (SELECT id, count(*) AS v FROM (SELECT DISTINCT id, r + dr AS y, c + dc AS x FROM wbit, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) d(dr, dc)) GROUP BY id),
+wedge AS (SELECT id, count(*) AS e FROM (SELECT DISTINCT id, k, r + dr AS y, c + dc AS x FROM wbit, (VALUES (0, 0, 0), (0, 1, 0), (1, 0, 0), (1, 0, 1)) d(k, dr, dc)) GROUP BY id),
+winside AS (SELECT id, min(y * 1000 + x) // 1000 AS y, min(y * 1000 + x) % 1000 AS x FROM wnorm GROUP BY id UNION
+    SELECT i.id, b.y, b.x FROM winside i CROSS JOIN {_SIDES4} JOIN wnorm b ON b.id = i.id AND b.y = i.y + dr AND b.x = i.x + dc),
+wfree AS (SELECT id, v.y, u.x FROM wbox, range(-1, 1001) v(y), range(-1, 1001) u(x) WHERE v.y <= h AND u.x <= w AND NOT EXISTS (SELECT 1 FROM wnorm k WHERE k.id = wbox.id AND k.y = v.y AND k.x = u.x)),
+woutside AS (SELECT id, CAST(-1 AS BIGINT) AS y, CAST(-1 AS BIGINT) AS x FROM wbox UNION
+    SELECT o.id, f.y, f.x FROM woutside o CROSS JOIN {_SIDES4} JOIN wfree f ON f.id = o.id AND f.y = o.y + dr AND f.x = o.x + dc),
+wfacts AS (SELECT s.dataset_id, TRUE AS not_empty, x.r0 = 0 AND x.c0 = 0 AS at_origin, x.w = s.w AS w_right, x.h = s.h AS h_right, x.n = s.size AS size_right, greatest(x.w, x.h) = s.max_dimension AS max_dim_right,
+    i.k = x.n AS connected, least(b0, b1, b2, b3) = b AS canonical_right, (v - e + x.n <= 0) = s.has_hole AS hole_right, (v - e + x.n <= 0) = (o.k < f.k) AS flood_agrees
+    FROM shapes s JOIN wbox x ON x.id = s.record_id JOIN wturn USING (id) JOIN wcorner USING (id) JOIN wedge USING (id) JOIN (SELECT id, count(*) AS k FROM winside GROUP BY id) i USING (id)
+    JOIN (SELECT id, count(*) AS k FROM woutside GROUP BY id) o USING (id) JOIN (SELECT id, count(*) AS k FROM wfree GROUP BY id) f USING (id))"""
+
+
+@query(
+    "verify_records",
+    _CHECK
+    + ", "
+    + _WIDE_FACTS
+    + " SELECT dataset_id, count(*) AS n_records, "
+    + ", ".join(f"count(*) FILTER (NOT {r}) AS bad_{r}" for r in sh.RULES)
+    + f" FROM (SELECT dataset_id, {', '.join(sh.RULES)} FROM facts UNION ALL SELECT dataset_id, {', '.join(sh.RULES)} FROM wfacts) GROUP BY dataset_id",
+)
 def verify_records(spark: SparkSession, d: str) -> DataFrame:
     """``verify_exports`` over all exports, also those wider than 8, which its SQL leaves out. Rows without a mask in either form aren't records."""
     fields = ("w", "h", "size", "max_dimension", "has_hole")
@@ -417,13 +536,26 @@ def _stored(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "shapes").select("dataset_id", "record_id", "has_hole", "max_dimension", record.alias("record")).where("record is not null")
 
 
-@query("duplicate_records")
+#: The stored form of a record: little-endian bytes in hexadecimal.
+_RECORD_SQL = "coalesce(" + " || ".join(f"printf('%02x', (cells >> {8 * i}) & 255)" for i in range(8)) + ", lower(wide_cells))"
+
+
+@query(
+    "duplicate_records",
+    f"""SELECT dataset_id, record, count(*) AS copies, min(record_id) AS first_row, count(*) - 1 AS findings FROM (SELECT dataset_id, record_id, {_RECORD_SQL} AS record FROM shapes)
+    WHERE dataset_id IS NOT NULL AND record IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
+)
 def duplicate_records(spark: SparkSession, d: str) -> DataFrame:
     """``duplicates`` by stored record, over all exports."""
     return sh.duplicates(_stored(spark, d), ["dataset_id", "record"], "record_id")
 
 
-@query("record_index")
+@query(
+    "record_index",
+    f"""SELECT record_id, has_hole, max_dimension, record, row_number() OVER (ORDER BY has_hole, max_dimension, length(value), value, record_id) - 1 AS global_index FROM (
+    SELECT record_id, has_hole, max_dimension, record, ltrim(array_to_string(list_reverse(regexp_extract_all(record, '..')), ''), '0') AS value
+    FROM (SELECT *, {_RECORD_SQL} AS record FROM shapes) WHERE record IS NOT NULL AND has_hole IS NOT NULL AND max_dimension IS NOT NULL)""",
+)
 def record_index(spark: SparkSession, d: str) -> DataFrame:
     """``global_index`` over all exports: class, longest side, mask. Masks go by their value as unsigned numbers, whatever the record's width."""
     rows = _stored(spark, d).drop("dataset_id").dropna()
@@ -529,7 +661,7 @@ def landmark_histogram(spark: SparkSession, d: str) -> DataFrame:
 )
 def landmark_rooms(spark: SparkSession, d: str) -> DataFrame:
     """Every landmark as an asset with its stored record."""
-    return sh.rooms(table(spark, d, "landmarks"))
+    return sh.rooms(table(spark, d, "landmarks")).drop("mask")
 
 
 @query(
@@ -544,8 +676,10 @@ def landmark_set_difference(spark: SparkSession, d: str) -> DataFrame:
     return sh.set_difference(marks, logged)
 
 
-_CHUNK_SQL = """WITH s AS (SELECT dataset_id, stream_id, try_cast(record_count AS BIGINT) AS count, coalesce(sum(try_cast(record_count AS BIGINT)) OVER
-    (PARTITION BY dataset_id ORDER BY has_hole, max_dimension, stream_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM streams)"""
+#: Behind an entry without a count no start is known.
+_CHUNK_SQL = """WITH n AS (SELECT dataset_id, stream_id, try_cast(record_count AS BIGINT) AS count, has_hole, max_dimension FROM streams),
+    s AS (SELECT dataset_id, stream_id, count, CASE WHEN count(*) FILTER (count IS NULL) OVER w = 0 THEN coalesce(sum(count) OVER w, 0)::BIGINT END AS start FROM n
+    WINDOW w AS (PARTITION BY dataset_id ORDER BY has_hole, max_dimension, stream_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 
 
 @query(
@@ -555,18 +689,60 @@ _CHUNK_SQL = """WITH s AS (SELECT dataset_id, stream_id, try_cast(record_count A
     AND l.global_index >= s.start AND l.global_index < s.start + s.count WHERE s.count > 0""",
 )
 def landmark_streams(spark: SparkSession, d: str) -> DataFrame:
-    """In which stream, and where in it, each landmark's global index lies."""
-    from pyspark.sql import Window
-
+    """In which stream, and where in it, each landmark's global index lies, as far as the streams before it have counts."""
     before = Window.partitionBy("dataset_id").orderBy("has_hole", "max_dimension", "stream_id").rowsBetween(Window.unboundedPreceding, -1)
     count = F.col("record_count").try_cast("bigint")
-    chunks = table(spark, d, "streams").select("dataset_id", "stream_id", count.alias("count"), F.coalesce(F.sum(count).over(before), F.lit(0)).alias("start"))
+    start = F.when(F.coalesce(F.sum(count.isNull().cast("int")).over(before), F.lit(0)) == 0, F.coalesce(F.sum(count).over(before), F.lit(0)))
+    chunks = table(spark, d, "streams").select("dataset_id", "stream_id", count.alias("count"), start.alias("start")).where("start is not null")
     asked = table(spark, d, "landmarks").where("global_index is not null").select("dataset_id", "landmark_id", F.col("global_index").alias("first"), F.col("global_index").alias("last"))
     found = sh.asked_chunks(asked, chunks)
     return found.select("landmark_id", "stream_id", (F.col("first") - F.col("start")).alias("position"))
 
 
-@query("growth_children")
+@query(
+    "landmark_extract",
+    """SELECT l.landmark_id, l.dataset_id, l.global_index, x.cells AS record_mask, CASE WHEN x.record_id IS NOT NULL THEN l.mask = x.cells END AS same FROM landmarks l
+    LEFT JOIN (SELECT dataset_id, record_id, cells, row_number() OVER (PARTITION BY dataset_id ORDER BY has_hole, max_dimension, cells, record_id) - 1 AS at FROM shapes
+    WHERE dataset_id IS NOT NULL AND cells IS NOT NULL AND has_hole IS NOT NULL AND max_dimension IS NOT NULL) x ON x.dataset_id = l.dataset_id AND x.at = l.global_index""",
+)
+def landmark_extract(spark: SparkSession, d: str) -> DataFrame:
+    """The logged record at each landmark's index in its export, and whether it has the landmark's mask."""
+    rows = table(spark, d, "shapes").select("dataset_id", "record_id", "has_hole", "max_dimension", "cells").dropna()
+    numbered = sh.indexed_within(rows, "dataset_id", ["has_hole", "max_dimension", "cells", "record_id"])
+    asked = table(spark, d, "landmarks").select("landmark_id", "dataset_id", "global_index", "mask")
+    return sh.extracted(asked, numbered, "dataset_id", "mask", "cells").drop("mask")
+
+
+@query(
+    "export_totals",
+    """WITH once AS (SELECT dataset_id, coalesce(CAST(cells AS VARCHAR), lower(wide_cells)) AS record, count(*) AS n, max(has_hole) AS hole FROM shapes
+        WHERE dataset_id IS NOT NULL AND (cells IS NOT NULL OR wide_cells IS NOT NULL) GROUP BY ALL)
+    SELECT d.dataset_id, try_cast(d.record_count AS BIGINT) AS declared, coalesce(sum(n), 0)::BIGINT AS n_records, count(record) AS n_distinct, count(*) FILTER (hole) AS n_holes,
+    count(*) FILTER (NOT hole) AS n_without, count(record) FILTER (hole IS NULL) AS n_unsaid, coalesce(count(record) <= try_cast(d.record_count AS BIGINT), TRUE) AS fits
+    FROM datasets d LEFT JOIN once USING (dataset_id) GROUP BY d.dataset_id, d.record_count""",
+)
+def export_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Per export the records logged, the different ones by class, and whether the declared count has room for them."""
+    found = sh.totals(_stored(spark, d).dropna(subset=["dataset_id"]), "dataset_id", "record", "has_hole")
+    declared = table(spark, d, "datasets").select("dataset_id", F.col("record_count").try_cast("bigint").alias("declared"))
+    counts = ("n_records", "n_distinct", "n_holes", "n_without", "n_unsaid")
+    both = declared.join(found, "dataset_id", "left").na.fill(0, list(counts))
+    return both.select("dataset_id", "declared", *counts, F.coalesce(F.col("n_distinct") <= F.col("declared"), F.lit(True)).alias("fits"))
+
+
+#: Each distinct shape with each empty neighbour, within 8 x 8, as the least of its turns.
+_GROWTH = _bits() + f""", parent AS (SELECT least(m0, m1, m2, m3) AS p FROM turns GROUP BY p),
+    cell AS (SELECT p, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c FROM parent, range(64) t(i) WHERE (p >> CAST(i AS INTEGER)) & 1 = 1),
+    new AS (SELECT DISTINCT p, r + dr AS y, c + dc AS x FROM cell, {_SIDES4}), open AS (SELECT * FROM new WHERE NOT EXISTS (SELECT 1 FROM cell WHERE cell.p = new.p AND r = y AND c = x)),
+    child AS (SELECT p, y, x, r, c FROM open JOIN cell USING (p) UNION ALL SELECT p, y, x, y, x FROM open),
+    size AS (SELECT p, y, x, min(r) AS r0, min(c) AS c0, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM child GROUP BY ALL),
+    kid AS (SELECT p, y, x, r - r0 AS r, c - c0 AS c, h, w FROM child JOIN size USING (p, y, x) WHERE h <= 8 AND w <= 8),
+    least4 AS (SELECT p, least(sum(CAST(1 AS HUGEINT) << (8 * r + c)), sum(CAST(1 AS HUGEINT) << (8 * c + h - 1 - r)), sum(CAST(1 AS HUGEINT) << (8 * (h - 1 - r) + w - 1 - c)),
+        sum(CAST(1 AS HUGEINT) << (8 * (w - 1 - c) + r))) AS m FROM kid GROUP BY p, y, x, h, w)
+    SELECT {_SIGNED.format("m")} AS mask, count(DISTINCT p) AS parents FROM least4 GROUP BY m"""
+
+
+@query("growth_children", _GROWTH)
 def growth_children(spark: SparkSession, d: str) -> DataFrame:
     """The shapes one cell larger that the logged ones lead to, within 8 x 8, and from how many."""
     return sh.children(sh.one_sided(_masks(spark, d)).select("mask"), g.SIDE)

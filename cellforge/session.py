@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "cellforge", **conf: str) -> SparkSession:
-    """A session for one machine; a cluster brings its own and needs none of this."""
+    """A session for one machine; a cluster brings its own, and needs ``ship`` if the package isn't installed on its workers."""
     settings = {
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
@@ -22,7 +23,9 @@ def local_session(cores: int | str = 8, app: str = "cellforge", **conf: str) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     settings.update(conf)
-    return SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
+    session = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=settings).getOrCreate()
+    ship(session)
+    return session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,27 +33,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: the cluster's ``spark.checkpoint.dir``, or one of our own where unset."""
+    """The shared folder for intermediate tables: the cluster's ``spark.checkpoint.dir``, or on one machine, where unset, a folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cellforge-{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """``df`` written as a table in the shared folder and read back.
 
     Ends the lineage there, so a lost executor costs no recomputation of what came before, and
-    later branches read columns instead of repeating the work.
+    later branches read columns instead of repeating the work. The tables stay until ``clear``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this application. Results that were read from them can't be read again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

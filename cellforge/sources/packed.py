@@ -28,7 +28,10 @@ ENCODINGS = {1: "u64-le-stride8", 2: "u64-le-stride8", 3: "uint-le-fixed"}
 CONSTANTS = {"storage_layout": "classified-single-copy", "representative": "minimum-rotation", "ordering": "category-major-parallel-unspecified"}
 V3_CONSTANTS = {"equivalence": "one-sided", "category_dimension": "exact-max-bounding-box"}
 _CHUNK = re.compile(r"shapes_([0-9]{6,})\.bin\Z")
-_READ_BYTES = 256 * 1024
+#: Bytes of a batch on reading: some 100,000 narrow records, few enough for many tasks side by side.
+_READ_BYTES = 1 << 20
+#: Bytes of a chunk on writing, which one task holds, where records are wide; the format allows smaller chunks than its greatest.
+CHUNK_BYTES = 256 << 20
 
 
 def layout(n: int) -> tuple[int, int]:
@@ -157,8 +160,6 @@ class Chunk(InputPartition):
 def _records(size: int, record: int, name: str) -> int:
     if size % record:
         raise ValueError(f"{name}: {size} bytes are no whole number of {record}-byte records")
-    if size // record > CHUNK_RECORDS:
-        raise ValueError(f"{name}: more than {CHUNK_RECORDS} records")
     return size // record
 
 
@@ -177,6 +178,7 @@ def _numbered(names: list[str], strict: bool, where: str) -> list[str]:
 
 
 def chunks_of(path: str, stream: Stream, record: int, used: int, strict: bool, start: int) -> list[Chunk]:
+    """The chunks of an archive or a folder, which must have some; a single raw file of any length is read in parts of a chunk's length."""
     if zipfile.is_zipfile(path):
         with zipfile.ZipFile(path) as z:
             sizes = {i.filename: i.file_size for i in z.infolist()}
@@ -187,14 +189,25 @@ def chunks_of(path: str, stream: Stream, record: int, used: int, strict: bool, s
     elif os.path.isdir(path):
         parts = [(os.path.join(path, n), None, os.path.getsize(os.path.join(path, n))) for n in _numbered(os.listdir(path), strict, path)]
     else:
-        parts = [(path, None, os.path.getsize(path))]
+        count = _records(os.path.getsize(path), record, path)
+        return [Chunk(path, None, count, start, stream, record, used, at, min(CHUNK_RECORDS, count - at)) for at in range(0, count, CHUNK_RECORDS)]
+    if not parts:
+        raise FileNotFoundError(f"{path}: no chunks")
     out = []
     for file, entry, size in parts:
-        out.append(Chunk(file, entry, _records(size, record, entry or file), start, stream, record, used))
-        start += out[-1].count
+        count = _records(size, record, entry or file)
+        if count > CHUNK_RECORDS:
+            raise ValueError(f"{entry or file}: more than {CHUNK_RECORDS} records")
+        out.append(Chunk(file, entry, count, start, stream, record, used))
+        start += count
     return out
 
 
+def discover(root: str) -> list[str]:
+    """All raw files under a folder, by path."""
+    return sorted(os.path.join(folder, n) for folder, _, names in os.walk(root) for n in names if n.endswith(".bin"))
+
+
 def plan(path: str) -> list[Chunk]:
     """The chunks behind a dataset's root, a stream or chunk of one, an archive or a raw file, with their global indexes.
 
@@ -253,8 +266,8 @@ class _Reader(DataSourceReader):
         first, last = int(self.options.get("from", 1)) - 1, int(self.options.get("to", 0)) - 1
         out = []
         for c in plan(self.options["path"]):
-            low = max(0, first - c.start)
-            high = c.count if last < 0 else min(c.count, last + 1 - c.start)
+            low = max(c.skip, first - c.start)
+            high = c.skip + c.take if last < 0 else min(c.skip + c.take, last + 1 - c.start)
             if low < high:
                 c.skip, c.take = low, high - low
                 out.append(c)
@@ -308,7 +321,7 @@ def describe(path: str) -> dict[str, int]:
     """Bytes, records and chunks, without decoding any."""
     found = plan(path)
     files = {c.path for c in found}
-    return {"bytes": sum(os.path.getsize(f) for f in files), "records": sum(c.count for c in found), "chunks": len(found)}
+    return {"bytes": sum(os.path.getsize(f) for f in files), "records": sum(c.take for c in found), "chunks": len(found)}
 
 
 # -- writing
@@ -326,8 +339,8 @@ def _write_chunk(root: str, record: int) -> Callable[[pa.Table], pa.Table]:
             if record == 8:
                 f.write(rows.column("mask").to_numpy().astype("<i8").tobytes())
             else:
-                for text in rows.column("record").to_pylist():
-                    f.write(bytes.fromhex(text)[:record].ljust(record, b"\0"))
+                for data in rows.column("record").to_pylist():
+                    f.write(data[:record].ljust(record, b"\0"))
         os.replace(partial, target)  # a repeated task writes the same file again
         return pa.table({"hole": [hole], "max_dim": pa.array([side], pa.int32()), "n": [rows.num_rows]})
 
@@ -350,14 +363,16 @@ def _zip_stream(root: str, level: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def write_dataset(df: DataFrame, root: str, n: int, *, zip_level: int | None = None, chunk_records: int = CHUNK_RECORDS) -> dict:
+def write_dataset(df: DataFrame, root: str, n: int, *, zip_level: int | None = None, chunk_records: int | None = None) -> dict:
     """Writes ``mask`` (or, for n > 8, ``record`` in hexadecimal), ``hole`` and ``max_dim`` as a packed dataset and returns its manifest.
 
     Version 2 for n up to 6, else version 3. ``root`` is a folder that all executors share, and must be empty or
     missing. One task writes one chunk; with ``zip_level`` (0 stores, 1 to 9 deflate) one then packs each stream's. The manifest comes last, under
-    another name first, so that a folder without one is unfinished. A null or contradictory class raises.
+    another name first, so that a folder without one is unfinished. A null or contradictory class raises, and so does a dataset that hasn't as many records as
+    ``df``. Without ``chunk_records`` a chunk has up to ``CHUNK_BYTES``, and no more records than the format allows.
     """
     stride, record = layout(n)
+    chunk_records = min(CHUNK_RECORDS, max(1, CHUNK_BYTES // record)) if chunk_records is None else chunk_records
     if zip_level is not None and not 0 <= zip_level <= 9:
         raise ValueError("zip_level must be from 0 to 9")
     if not 1 <= chunk_records <= CHUNK_RECORDS:
@@ -372,10 +387,12 @@ def write_dataset(df: DataFrame, root: str, n: int, *, zip_level: int | None = N
     # two classes for each side
     starts = numbered.groupBy("hole", "max_dim").agg(F.min("global_index").alias("start"))
     at = F.col("global_index") - F.col("start")
-    placed = numbered.join(F.broadcast(starts), ["hole", "max_dim"]).select("hole", "max_dim", value, at.alias("at"), F.floor(at / chunk_records).cast("int").alias("chunk"))
+    placed = numbered.join(F.broadcast(starts), ["hole", "max_dim"]).select("hole", "max_dim", F.col(value) if record == 8 else F.unhex(value).alias(value), at.alias("at"), F.floor(at / chunk_records).cast("int").alias("chunk"))
     written = placed.groupBy("hole", "max_dim", "chunk").applyInArrow(_write_chunk(root, record), "hole boolean, max_dim int, n bigint")
     streams = sorted((r["hole"], r["max_dim"], r["n"]) for r in written.groupBy("hole", "max_dim").agg(F.sum("n").alias("n")).collect())
     total = sum(s[2] for s in streams)
+    if total != (given := df.count()):
+        raise ValueError(f"{total} records were written of {given}: a class is null, or the rows aren't the same at every reading")
     if zip_level is not None and streams:
         listed = df.sparkSession.createDataFrame([s[:2] for s in streams], "hole boolean, max_dim int")
         listed.groupBy("hole", "max_dim").applyInArrow(_zip_stream(root, zip_level), "hole boolean, max_dim int").count()
@@ -407,3 +424,34 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("maxRecordsPerFile", CHUNK_RECORDS).partitionBy("hole", "max_dim").parquet(path)
 
 
+# -- landmarks as assets
+
+
+def write_rooms(rooms: DataFrame, root: str, label: str) -> dict:
+    """Chosen shapes (``selection_order``, ``global_index``, ``mask``, ``width``, ``height``, ``size``, ``hole``) as ``rooms.bin``, their masks one after another, and
+    ``rooms.json`` with the rest, both by selection order. A selection that is made to be looked at, and small; its rows
+    come one partition at a time."""
+    os.makedirs(root, exist_ok=True)
+    listed, n, cells, holes = [], 0, 0, 0
+    ordered = rooms.orderBy(F.col("selection_order").isNull(), "selection_order", "global_index", "mask")
+    with open(os.path.join(root, "rooms.bin"), "wb") as f:
+        for r in ordered.toLocalIterator():
+            f.write((r["mask"] & (2**64 - 1)).to_bytes(8, "little"))
+            listed.append({k: r[k] for k in ("selection_order", "global_index", "width", "height", "size", "hole")})
+            n, cells, holes = n + 1, cells + r["size"], holes + bool(r["hole"])
+    body = {"label": label, "count": n, "avg_size": round(cells / n, 1) if n else 0, "holes_count": holes, "format": "rooms.bin: u64 LE bitmask \u00d7 count, stride=8, top-left aligned", "rooms": listed}
+    with open(os.path.join(root, "rooms.json"), "w", encoding="utf-8") as f:
+        json.dump(body, f, ensure_ascii=False, indent=2)
+    return body
+
+
+def read_rooms(spark: SparkSession, root: str) -> DataFrame:
+    """What ``write_rooms`` wrote: the masks with their facts. Raises where the two files don't have as many."""
+    with open(os.path.join(root, "rooms.json"), encoding="utf-8") as f:
+        listed = json.load(f)["rooms"]
+    masks = np.fromfile(os.path.join(root, "rooms.bin"), "<i8")
+    if len(masks) != len(listed):
+        raise ValueError(f"{root}: {len(masks)} masks and {len(listed)} rooms")
+    keys = ("selection_order", "global_index", "width", "height", "size", "hole")
+    rows = [(*(r.get(k) for k in keys), int(m)) for r, m in zip(listed, masks, strict=True)]
+    return spark.createDataFrame(rows, "selection_order int, global_index bigint, width int, height int, size int, hole boolean, mask bigint")

@@ -50,8 +50,8 @@ def test_raw_archives_and_first_version(spark, tmp_path):
         return b"".join(x.to_bytes(8, "little") for x in xs)
 
     (tmp_path / "raw").mkdir()
-    (tmp_path / "raw/shapes_1000000.bin").write_bytes(bin_(3))
-    (tmp_path / "raw/shapes_999999.bin").write_bytes(bin_(1, 2))
+    (tmp_path / "raw/shapes_2000003.bin").write_bytes(bin_(3))
+    (tmp_path / "raw/shapes_000012.bin").write_bytes(bin_(1, 2))
     assert masks(p.read_dataset(spark, str(tmp_path / "raw"))) == [1, 2, 3]
     with zipfile.ZipFile(tmp_path / "old.zip", "w") as z:
         z.writestr("any.bin", bin_(8, 9))
@@ -102,7 +102,7 @@ def test_bad_manifests(body):
 
 
 def test_layout():
-    assert [p.layout(n) for n in (1, 8, 9, 17, 100)] == [(8, 8), (8, 8), (9, 11), (17, 37), (100, 1250)]
+    assert [p.layout(n) for n in (2, 7, 11, 24, 40)] == [(8, 8), (8, 8), (11, 16), (24, 72), (40, 200)]
     with pytest.raises(ValueError):
         p.layout(0)
 
@@ -112,3 +112,54 @@ def test_parquet_table(spark, shapes, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).where("hole = 'true'").count() == 2
     with pytest.raises(Exception, match="already exists"):
         p.write_table(shapes, str(tmp_path / "t"))
+
+
+def test_a_long_raw_file_is_read_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(p, "CHUNK_RECORDS", 4)
+    path = tmp_path / "one.bin"
+    path.write_bytes(b"".join(i.to_bytes(8, "little") for i in range(11)))
+    assert [(c.skip, c.take) for c in p.plan(str(path))] == [(0, 4), (4, 4), (8, 3)]
+    assert masks(p.read_dataset(spark, str(path))) == list(range(11))
+    assert masks(p.read_dataset(spark, str(path), 4, 9)) == list(range(3, 9))
+    assert p.describe(str(path))["records"] == 11
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder/shapes_000000.bin").write_bytes(path.read_bytes())
+    with pytest.raises(ValueError, match="more than"):
+        p.plan(str(tmp_path / "folder"))
+
+
+def test_nothing_to_read_raises(tmp_path):
+    (tmp_path / "empty").mkdir()
+    with zipfile.ZipFile(tmp_path / "empty.zip", "w") as z:
+        z.writestr("readme.txt", "x")
+    for name in ("empty", "empty.zip"):
+        with pytest.raises(FileNotFoundError, match="no chunks"):
+            p.plan(str(tmp_path / name))
+    (tmp_path / "none.bin").write_bytes(b"")
+    assert p.plan(str(tmp_path / "none.bin")) == []
+
+
+def test_raw_files_are_found_at_any_depth(tmp_path):
+    for name in ("a/b/x.bin", "y.bin", "a/z.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"")
+    assert [os.path.relpath(f, tmp_path) for f in p.discover(str(tmp_path))] == ["a/b/x.bin", "y.bin"]
+
+
+def test_written_records_are_held_against_the_input(spark, tmp_path):
+    rows = spark.createDataFrame([(False, 2, 3), (None, 2, 7)], "hole boolean, max_dim int, mask bigint")
+    with pytest.raises(Exception, match="class is null"):
+        p.write_dataset(rows, str(tmp_path / "out"), 2)
+    assert not (tmp_path / "out" / p.MANIFEST).exists()
+
+
+def test_rooms_round_trip(spark, tmp_path):
+    marks = spark.createDataFrame([(1, "x", 2, 40, 7), (2, "x", 1, 41, 197895), (3, "x", None, 42, -(1 << 63))], "landmark_id bigint, label string, selection_order int, global_index bigint, mask bigint")
+    body = p.write_rooms(sh.rooms(marks), str(tmp_path / "r"), "x")
+    assert (body["count"], body["holes_count"], body["avg_size"]) == (3, 1, 3.7)
+    got = p.read_rooms(spark, str(tmp_path / "r")).collect()
+    assert [(r["selection_order"], r["mask"], r["size"], r["hole"]) for r in got] == [(1, 197895, 7, True), (2, 7, 3, False), (None, -(1 << 63), 1, False)]
+    (tmp_path / "r/rooms.bin").write_bytes(b"\0" * 8)
+    with pytest.raises(ValueError, match="1 masks and 3 rooms"):
+        p.read_rooms(spark, str(tmp_path / "r"))
+    assert p.write_rooms(sh.rooms(marks.limit(0)), str(tmp_path / "e"), "x")["count"] == 0 and p.read_rooms(spark, str(tmp_path / "e")).count() == 0

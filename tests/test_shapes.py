@@ -141,3 +141,35 @@ def test_children_against_brute_force(spark, logged):
     path, masks = logged
     got = {r["mask"] % (1 << 64): r["parents"] for r in queries.growth_children(spark, path).collect()}
     assert got == _grown_by_force(masks)
+
+
+def test_as_of_against_brute_force(spark):
+    """Ties, nulls, keys without marks and a key that holds most rows, over many partitions."""
+    rnd = random.Random(12)
+    key = lambda: rnd.choice(["a", "a", "a", "b", "c", None])
+    points = [(i, key(), rnd.choice([None, rnd.randrange(100)])) for i in range(300)]
+    marks = [(k, rnd.choice([None, rnd.randrange(100)]), i) for i, k in enumerate(rnd.choices(["a", "a", "b", None], k=80))]
+    got = sh.as_of(spark.createDataFrame(points, "id int, k string, at int"), spark.createDataFrame(marks, "k string, at int, value int"), ["k"], "at", "m").collect()
+    want = {}
+    for i, k, at in points:
+        held = [(a, v) for q, a, v in marks if q == k and k is not None and a is not None and at is not None and a <= at]
+        want[i] = max(held)[1] if held else None
+    assert {r["id"]: r["m"] and r["m"]["value"] for r in got} == want and len(got) == 300 and any(want.values())
+
+
+def test_ranges_over_chunks(spark):
+    chunks = [("a", i, 10 * i, 10) for i in range(20)] + [("a", 99, 200, 0), ("b", 0, 5, 3), ("b", 1, 8, 1000)]
+    asked = [("a", 1, 0, 0), ("a", 2, 15, 44), ("a", 3, 199, 500), ("a", 4, 200, 300), ("b", 5, 0, 4), ("b", 6, 0, 8), ("c", 7, 0, 9)]
+    got = sh.asked_chunks(spark.createDataFrame(asked, "k string, id int, first int, last int"), spark.createDataFrame(chunks, "k string, chunk int, start int, count int")).collect()
+    want = sorted((i, c, min(b, s + n - 1) - max(a, s) + 1) for k, i, a, b in asked for q, c, s, n in chunks if k == q and n and max(a, s) <= min(b, s + n - 1))
+    assert sorted((r["id"], r["chunk"], r["wanted"]) for r in got) == want
+
+
+def test_records_by_index(spark):
+    rows = spark.createDataFrame([("a", 5), ("a", 3), ("b", 9)], "g string, m int")
+    numbered = sh.indexed_within(rows, "g", ["m"])
+    assert sorted((r["g"], r["m"], r["global_index"]) for r in numbered.collect()) == [("a", 3, 0), ("a", 5, 1), ("b", 9, 0)]
+    asked = spark.createDataFrame([("a", 0, 3), ("a", 1, 4), ("a", 2, 5), ("b", 0, None), (None, 0, 9)], "g string, global_index int, mask int")
+    found = sh.extracted(asked, numbered, "g", "mask", "m").collect()
+    got = {(r["g"], r["global_index"]): (r["record_mask"], r["same"]) for r in found}
+    assert got == {("a", 0): (3, True), ("a", 1): (5, False), ("a", 2): (None, None), ("b", 0): (9, None), (None, 0): (None, None)}
