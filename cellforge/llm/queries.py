@@ -101,6 +101,13 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return sampling.report(table(spark, d, "sample_targets"), table(spark, d, "shapes"))
 
 
+@query("p3_gaps", f"SELECT plan_id, max_dimension, has_hole, need, available, greatest(need - available, 0) AS gap FROM ({_NEEDS_SQL})")
+def p3_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """What each category needs and has, and what the drawn sample lacks."""
+    found = sampling.report(table(spark, d, "sample_targets"), table(spark, d, "shapes"))
+    return found.select("plan_id", "max_dimension", "has_hole", "need", "available", "gap")
+
+
 @query("p3_sample")
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.draw(table(spark, d, "sample_targets"), table(spark, d, "shapes"))
@@ -124,6 +131,16 @@ def p4_subset(spark: SparkSession, d: str) -> DataFrame:
     return subset.varied(table(spark, d, "landmarks"))
 
 
+@query(
+    "p4_counts",
+    """SELECT dataset_id, least(count(DISTINCT mask), CAST(ceil(count(*) / 10) AS BIGINT)) AS n_chosen, least(count(DISTINCT mask), CAST(ceil(count(*) / 10) AS BIGINT)) AS n_masks FROM landmarks
+    WHERE dataset_id IS NOT NULL AND mask IS NOT NULL GROUP BY dataset_id""",
+)
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many landmarks each export's subset has, and how many different masks."""
+    return subset.varied(table(spark, d, "landmarks")).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n_chosen"), F.countDistinct("mask").alias("n_masks"))
+
+
 # -- problem 7: evaluation texts in training text
 
 

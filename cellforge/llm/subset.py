@@ -310,7 +310,7 @@ def varied(rows: DataFrame, *, group: str = "dataset_id", mask: str = "mask", ro
     leaves = leaves_of(masks)
     away = cut(with_pivots(masks.select("gid", "mask", "n", "vary", "masks", "leaf"), leaves), "away")
     weight = F.pow(1.0 + F.col("others"), F.lit(-CROWDING))
-    quota = F.least("masks", F.ceil(F.col("rows") * F.lit(fraction))).cast("bigint")
+    quota = F.least("masks", F.ceil(F.col("rows") * F.lit(fraction) - 1e-9)).cast("bigint")
     state = cut(masks.join(neighbours(away), ["gid", "mask"]).select("gid", "leaf", "mask", weight.alias("weight"), quota.alias("wanted"), "others"), "weighted")
     root = cut(tournament(state.withColumn("quota", F.least("wanted", F.lit(MOST).cast("bigint"))), leaves).select("gid", "mask", F.lit(0).alias("round"), "pivot"), "root")
 
