@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -66,53 +67,74 @@ def turned(df: DataFrame, array: str, stride: str) -> DataFrame:
     ).withColumn("weight", F.when(F.col("s90"), 1).when(F.col("s180"), 2).when(known, 4)).drop("__at", "__r", "__c", "__b0", "__b1", "__b2", "__b3")
 
 
-def _number(at: list[tuple[int, int]], stride: int) -> int:
-    """The cells, moved so that their box begins at (0, 0), as a number."""
-    r0, c0 = min(r for r, _ in at), min(c for _, c in at)
-    return sum(1 << (stride * (r - r0) + c - c0) for r, c in at)
-
-
-def _flooded(seed: tuple[int, int], inside: set[tuple[int, int]]) -> int:
-    """How many of the places inside can be reached from the seed by sides."""
-    seen, open_ = {seed}, [seed]
-    while open_:
-        r, c = open_.pop()
-        new = {(r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)} & inside
-        new -= seen
-        seen |= new
-        open_ += new
-    return len(seen)
-
-
-def _whole(record: str | None, stride: int | None) -> dict | None:
-    """``connected``, ``canonical`` and ``flooded`` (a hole by flood) of one record; none where it can't be read."""
-    try:
-        number = int.from_bytes(bytes.fromhex(record), "little")
-        at = [divmod(i, stride) for i in range(number.bit_length()) if number >> i & 1]
-    except (TypeError, ValueError, ZeroDivisionError):
-        return None
-    if not at:
-        return {"connected": False, "canonical": True, "flooded": False}
-    turns = [at]
-    for _ in range(3):
-        turns.append([(c, -r) for r, c in turns[-1]])
-    rows, cols = [r for r, _ in at], [c for _, c in at]
-    board = {(r, c) for r in range(min(rows) - 1, max(rows) + 2) for c in range(min(cols) - 1, max(cols) + 2)}
-    free = board - set(at)
-    return {
-        "connected": _flooded(at[0], set(at)) == len(at),
-        "canonical": number == min(_number(t, stride) for t in turns),
-        "flooded": _flooded((min(rows) - 1, min(cols) - 1), free) != len(free),
-    }
-
-
-_KIND = pa.struct([("connected", pa.bool_()), ("canonical", pa.bool_()), ("flooded", pa.bool_())])
+def _boards(records: list[bytes], stride: int) -> np.ndarray:
+    """Boards of 0 and 1 with a free rim: record x row x column."""
+    longest = max(map(len, records))
+    raw = np.frombuffer(b"".join(r.ljust(longest, b"\0") for r in records), np.uint8).reshape(len(records), longest)
+    bits = np.unpackbits(raw, axis=1, bitorder="little")
+    rows = -(-bits.shape[1] // stride)
+    padded = np.zeros((len(records), rows * stride), bool)
+    padded[:, : bits.shape[1]] = bits
+    return np.pad(padded.reshape(len(records), rows, stride), ((0, 0), (1, 1), (1, 1)))
+
+
+def _spread(now: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Floods all boards at once from where they are set, until nothing moves; boards that are done drop out."""
+    open_ = np.arange(len(now))
+    while len(open_):
+        x = now[open_]
+        new = x.copy()
+        new[:, 1:] |= x[:, :-1]
+        new[:, :-1] |= x[:, 1:]
+        new[:, :, 1:] |= x[:, :, :-1]
+        new[:, :, :-1] |= x[:, :, 1:]
+        new &= inside[open_]
+        now[open_] = new
+        open_ = open_[(new != x).any(axis=(1, 2))]
+    return now
+
+
+def _floods(records: list[bytes], stride: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether all cells hang together (not if there are none), and whether some empty cell is shut in."""
+    at = _boards(records, stride)
+    flat = at.reshape(len(at), -1)
+    seed = np.zeros_like(flat)
+    seed[np.arange(len(flat)), flat.argmax(axis=1)] = True
+    reached = _spread(seed.reshape(at.shape) & at, at)
+    rim = np.zeros_like(at)
+    rim[:, 0] = True
+    return flat.any(axis=1) & (reached == at).all(axis=(1, 2)), (_spread(rim, ~at) != ~at).any(axis=(1, 2))
+
+
+#: Cells of all boards that are flooded at once.
+_AT_ONCE = 4_000_000
+_KIND = pa.struct([("connected", pa.bool_()), ("flooded", pa.bool_())])
 
 
 def _wholes(records: pa.Array, strides: pa.Array) -> pa.Array:
-    return pa.array([_whole(r, s) for r, s in zip(records.to_pylist(), strides.to_pylist(), strict=True)], _KIND)
+    out: list[dict | None] = [None] * len(records)
+    by: dict[int, list[tuple[int, bytes]]] = {}
+    for i, (text, stride) in enumerate(zip(records.to_pylist(), strides.to_pylist(), strict=True)):
+        try:
+            if stride and stride > 0:
+                by.setdefault(stride, []).append((i, bytes.fromhex(text)))
+        except (TypeError, ValueError):
+            continue
+    for stride, some in by.items():
+        some.sort(key=lambda x: len(x[1]))  # boards of like size together
+        start = 0
+        while start < len(some):
+            end = start + 1
+            while end < len(some) and (end + 1 - start) * 8 * (len(some[end][1]) + 4 * stride) <= _AT_ONCE:
+                end += 1
+            part = some[start:end]
+            for (i, _), hangs, holed in zip(part, *_floods([r for _, r in part], stride), strict=True):
+                out[i] = {"connected": bool(hangs), "flooded": bool(holed)}
+            start = end
+    return pa.array(out, _KIND)
 
 
 def whole(record: Column, stride: Column) -> Column:
-    """What takes floods or turns: whether all cells hang together, the record is the least of its four turns, and some empty cell is shut in."""
-    return F.arrow_udf(_wholes, "connected boolean, canonical boolean, flooded boolean")(record, stride)
+    """What takes floods: whether all cells hang together and some empty cell is shut in; null where the record can't be read. On Arrow batches,
+    where all boards of a stride take a step at once."""
+    return F.arrow_udf(_wholes, "connected boolean, flooded boolean")(record, stride)

@@ -104,15 +104,16 @@ def checked(df: DataFrame, mask: str, w: str, h: str, size: str, max_dim: str, h
 
 def checked_wide(df: DataFrame, record: str, stride: str, w: str, h: str, size: str, max_dim: str, hole: str) -> DataFrame:
     """``checked`` for the stored records of wider exports. A record that can't be read, or has no stride, leaves its rules null."""
-    at = F.col("__at")
-    facts = g.settled(df.withColumns({"__at": wide.cells(F.col(record), F.col(stride)), "__whole": wide.whole(F.col(record), F.col(stride))}))
-    low = lambda part: F.coalesce(F.array_min(F.transform(at, lambda x: x[part])), F.lit(0))
+    named = df.withColumnsRenamed({w: "__dw", h: "__dh"}).withColumns({"__cells": wide.cells(F.col(record), F.col(stride)), "__whole": wide.whole(F.col(record), F.col(stride))})
+    facts = g.settled(wide.turned(named, "__cells", stride))
+    at = F.col("__cells")
+    here = F.sort_array(F.transform(at, lambda x: (x["row"] * F.col(stride) + x["col"]).cast("int")), asc=False)
+    made = facts.withColumn("__hole", wide.euler(at) <= 0)
     told = F.col("__whole").isNotNull()
-    made = facts.withColumns({"__w": wide.extent(at, "col"), "__h": wide.extent(at, "row"), "__hole": wide.euler(at) <= 0})
     rules = {
-        "not_empty": F.size(at) > 0, "at_origin": (low("row") == 0) & (low("col") == 0), "w_right": F.col("__w") == F.col(w), "h_right": F.col("__h") == F.col(h),
-        "size_right": F.size(at) == F.col(size), "max_dim_right": F.greatest("__w", "__h") == F.col(max_dim), "connected": F.col("__whole.connected"),
-        "canonical_right": F.col("__whole.canonical"), "hole_right": F.col("__hole") == F.col(hole), "flood_agrees": F.col("__whole.flooded") == F.col("__hole"),
+        "not_empty": F.size(at) > 0, "at_origin": here == F.col("normal"), "w_right": F.col("w") == F.col("__dw"), "h_right": F.col("h") == F.col("__dh"),
+        "size_right": F.size(at) == F.col(size), "max_dim_right": F.col("max_dim") == F.col(max_dim), "connected": F.col("__whole.connected"),
+        "canonical_right": here == F.col("canonical"), "hole_right": F.col("__hole") == F.col(hole), "flood_agrees": F.col("__whole.flooded") == F.col("__hole"),
     }
     return made.select(*[c for c in df.columns if c not in (w, h)], *(F.when(told, x).alias(r) for r, x in rules.items()))
 
