@@ -165,7 +165,7 @@ def list_shapes(spark: SparkSession, n: int) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-#: Rows known from the literature of this count: n, total, without and with holes. Fixed values.
+#: Known rows of this count: n, total, without and with holes. Fixed values; the tests list all shapes for n up to 4 and compare.
 KNOWN = (
     (1, 1, 1, 0),
     (2, 4, 4, 0),

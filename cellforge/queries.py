@@ -307,6 +307,21 @@ def shape_hex(spark: SparkSession, d: str) -> DataFrame:
     return _masks(spark, d).select("record_id", g.to_hex(F.col("mask")).alias("record"))
 
 
+@query("shape_decoded", "SELECT record_id, cells AS by_record, cells AS by_cells FROM shapes WHERE cells IS NOT NULL")
+def shape_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every mask back from its stored form, and from the list of its cells."""
+    m = F.col("mask")
+    return _masks(spark, d).select("record_id", g.from_hex(g.to_hex(m)).alias("by_record"), g.from_cells(g.cells(m)).alias("by_cells"))
+
+
+@query("shape_touches", _bits() + "SELECT id AS record_id, r0 = 0 AND c0 = 0 AND w = 6 AND h = 6 AS touches_6, r0 = 0 AND c0 = 0 AND w = 7 AND h = 7 AS touches_7 FROM box")
+def shape_touches(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a shape touches all sides of the board that it fills: 6 x 6 or 7 x 7."""
+    boxed = g.with_box(_masks(spark, d).where("mask <> 0"))
+    fits = lambda n: (F.col("min_row") + F.col("h") <= n) & (F.col("min_col") + F.col("w") <= n)
+    return boxed.select("record_id", *((fits(n) & g.touches_all_sides(F.col("mask"), n, n)).alias(f"touches_{n}") for n in (6, 7)))
+
+
 _WIDE = """WITH bits AS (SELECT s.record_id, (8 * i + k) // d.stride AS r, (8 * i + k) % d.stride AS c FROM shapes s JOIN datasets d USING (dataset_id), range(2000) t(i), range(8) u(k)
     WHERE s.wide_cells IS NOT NULL AND i < length(s.wide_cells) // 2 AND (CAST('0x' || substr(s.wide_cells, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) >> CAST(k AS INTEGER)) & 1 = 1)"""
 
@@ -448,17 +463,34 @@ def index_range(spark: SparkSession, d: str) -> DataFrame:
 # -- packed datasets
 
 
-@query(
-    "packed_round_trip",
-    """WITH s AS (SELECT DISTINCT has_hole AS hole, max_dimension AS max_dim, cells AS mask FROM shapes WHERE has_hole IS NOT NULL AND max_dimension IS NOT NULL AND cells IS NOT NULL)
-    SELECT hole, max_dim, mask, row_number() OVER (ORDER BY hole, max_dim, CAST(mask AS HUGEINT) + CASE WHEN mask < 0 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END) - 1 AS global_index FROM s""",
-)
-def packed_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """All logged masks by class, written as a packed dataset into the shared folder and read from there. The folder must be one that tasks can open as files."""
+_PACKED_SQL = """WITH s AS (SELECT DISTINCT has_hole AS hole, max_dimension AS max_dim, cells AS mask FROM shapes WHERE has_hole IS NOT NULL AND max_dimension IS NOT NULL AND cells IS NOT NULL),
+    placed AS (SELECT hole, max_dim, mask, row_number() OVER (ORDER BY hole, max_dim, CAST(mask AS HUGEINT) + CASE WHEN mask < 0 THEN 18446744073709551616::HUGEINT ELSE 0::HUGEINT END) - 1 AS global_index FROM s)"""
+
+
+def _packed(spark: SparkSession, d: str) -> str:
+    """All logged masks by class, written as a packed dataset into the shared folder, which must be one that tasks can open as files; where it lies."""
     rows = table(spark, d, "shapes").select(F.col("has_hole").alias("hole"), F.col("max_dimension").alias("max_dim"), F.col("cells").alias("mask")).dropna().distinct()
     root = f"{re.sub('^file:/+', '/', shared_dir(spark))}/packed-{uuid.uuid4().hex}"
     packed.write_dataset(cut(rows, "rows"), root, g.SIDE)
-    return packed.read_dataset(spark, root).select("hole", "max_dim", "mask", "global_index")
+    return root
+
+
+@query("packed_round_trip", _PACKED_SQL + " SELECT hole, max_dim, mask, global_index FROM placed")
+def packed_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The packed dataset of all logged masks, read again."""
+    return packed.read_dataset(spark, _packed(spark, d)).select("hole", "max_dim", "mask", "global_index")
+
+
+@query("packed_range", _PACKED_SQL + " SELECT hole, max_dim, mask, global_index FROM placed WHERE global_index BETWEEN 99 AND 4999")
+def packed_range(spark: SparkSession, d: str) -> DataFrame:
+    """Its records 100 to 5000, of which other chunks aren't opened."""
+    return packed.read_dataset(spark, _packed(spark, d), 100, 5000).select("hole", "max_dim", "mask", "global_index")
+
+
+@query("packed_streams", _PACKED_SQL + " SELECT hole, max_dim, count(*) AS n_records, min(global_index) AS first_index, max(global_index) AS last_index FROM placed GROUP BY ALL")
+def packed_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Its streams as their files have them: records and the places of the first and last."""
+    return packed.read_dataset(spark, _packed(spark, d)).groupBy("hole", "max_dim").agg(F.count(F.lit(1)).alias("n_records"), F.min("global_index").alias("first_index"), F.max("global_index").alias("last_index"))
 
 
 # -- checks
