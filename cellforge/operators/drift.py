@@ -215,33 +215,33 @@ def _match_all(corpus: Corpus) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for signature, seen in zip(batch["signature"], batch["seen"], strict=True):
+            for signature, seen in zip(batch["__signature"], batch["seen"], strict=True):
                 beside = {x["name"]: {f for f in FIELDS if x[f]} for x in seen}
                 keys = [tuple(k) for k in json.loads(signature)]
                 found.append(matched(keys, [beside.get(k, set()) for k, _ in keys], corpus))
-            yield pd.DataFrame({"signature": batch["signature"]} | {f"{f}_key": [x.get(f) for x in found] for f in FIELDS})
+            yield pd.DataFrame({"__signature": batch["__signature"]} | {f"{f}_key": [x.get(f) for x in found] for f in FIELDS})
 
     return run
 
 
 def _found_keys(rows: DataFrame) -> DataFrame:
-    """``signature`` and per field the key that carries it, each distinct schema matched once.
+    """``__signature`` and per field the key that carries it, each distinct schema matched once.
 
     First all bodies are asked which keys stand beside a field that has its own name, and how that field's values are typed: since at
     most one key of a body carries a field, a key beside it is another. The names stay in Spark; only the types' counts,
     fields x types, come to the driver.
     """
-    names = F.transform("keys__", lambda k: k["name"])
+    names = F.transform("__keys", lambda k: k["name"])
     has = [F.array_contains(names, f).alias(f) for f in FIELDS]
-    each = rows.select(*has, F.explode("keys__").alias("k"))
+    each = rows.select(*has, F.explode("__keys").alias("k"))
     counted = each.where(F.col("k.name").isin(*FIELDS)).groupBy("k.name", "k.kind").count().collect()
     corpus = Corpus({f: {r["kind"]: r["count"] / sum(x["count"] for x in counted if x["name"] == f) for r in counted if r["name"] == f} for f in FIELDS})
     beside = each.groupBy(F.col("k.name").alias("name")).agg(*(F.max(f).alias(f) for f in FIELDS))
-    schemas = rows.groupBy("signature").agg(F.first("keys__").alias("keys__")).select("signature", F.explode_outer(F.transform("keys__", lambda k: k["name"])).alias("name"))
-    seen = schemas.join(beside, "name", "left").groupBy("signature").agg(F.collect_list(F.struct("name", *FIELDS)).alias("seen"))  # one schema's keys
+    schemas = rows.groupBy("__signature").agg(F.first("__keys").alias("__keys")).select("__signature", F.explode_outer(F.transform("__keys", lambda k: k["name"])).alias("name"))
+    seen = schemas.join(beside, "name", "left").groupBy("__signature").agg(F.collect_list(F.struct("name", *FIELDS)).alias("seen"))  # one schema's keys
     # few bytes but much work a row: by number, so that the small partitions aren't coalesced into one task
     spread = seen.repartition(width(rows.sparkSession))
-    return spread.mapInPandas(_match_all(corpus), "signature string, " + ", ".join(f"{f}_key string" for f in FIELDS))
+    return spread.mapInPandas(_match_all(corpus), "__signature string, " + ", ".join(f"{f}_key string" for f in FIELDS))
 
 
 def _with_name(column: str) -> Callable[[Column], Column]:
@@ -262,11 +262,11 @@ def unified(files: DataFrame, body: str = "body") -> DataFrame:
     added = [f"{f}{end}" for f in FIELDS for end in ("", "_key", "_kind")]
     kept = [c for c in files.columns if c != body and c not in added]
     parsed = F.pandas_udf(_parse, _PARSED).asNondeterministic()  # else the filter below would run it again
-    rows = cut(files.select(*kept, parsed(F.col(body)).alias("p")).where("p.ok").select(*kept, F.col("p.keys").alias("keys__"), F.col("p.signature").alias("signature")), "bodies")
-    joined = rows.join(_found_keys(rows), "signature", "left")
+    rows = cut(files.select(*kept, parsed(F.col(body)).alias("__p")).where("__p.ok").select(*kept, F.col("__p.keys").alias("__keys"), F.col("__p.signature").alias("__signature")), "bodies")
+    joined = rows.join(_found_keys(rows), "__signature", "left")
     cols = []
     for f in FIELDS:
-        hit = F.get(F.filter("keys__", _with_name(f"{f}_key")), F.lit(0))
+        hit = F.get(F.filter("__keys", _with_name(f"{f}_key")), F.lit(0))
         value = hit["value"]
         if f == "encoding":
             inner = F.coalesce(F.get_json_object(value, "$.name"), F.get_json_object(value, "$[0]"))

@@ -67,7 +67,7 @@ def as_is(col: Column) -> Column:
 
 def tidy(df: DataFrame, key: str, columns: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """Key and columns in one notation. The array keeps them together, so that later mentions don't compute them again."""
-    made = F.struct(F.col(key).cast("bigint").alias("k"), *(make(F.col(c)).alias(c) for c, make in columns.items()))
+    made = F.struct(F.col(key).cast("bigint").alias("__key"), *(make(F.col(c)).alias(c) for c, make in columns.items()))
     return df.select(F.inline(F.array(made)))
 
 
@@ -78,7 +78,7 @@ def one_per_key(rows: DataFrame, columns: list[str]) -> DataFrame:
     holds a third of the rows costs no more than another.
     """
     row = F.xxhash64(*(x for c in columns for x in (F.col(c), F.col(c).isNull())))
-    return rows.groupBy("k").agg(*(F.min(c).alias(c) for c in columns), (F.min(row) != F.max(row)).alias("many"))
+    return rows.groupBy("__key").agg(*(F.min(c).alias(c) for c in columns), (F.min(row) != F.max(row)).alias("__many"))
 
 
 def _unlike_rows(sides: list[DataFrame], keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,17 +88,17 @@ def _unlike_rows(sides: list[DataFrame], keys: DataFrame, columns: list[str]) ->
     Rows, then (key, column, value), are the grouping keys, so a key of any number of rows is spread; it comes down to
     one row for each column.
     """
-    both = [s.join(keys, "k", "left_semi").withColumn("side", F.lit(1 << i)) for i, s in enumerate(sides)]
-    rows = both[0].unionByName(both[1]).groupBy("k", *columns).agg(F.bit_or("side").alias("side"))
+    both = [s.join(keys, "__key", "left_semi").withColumn("__side", F.lit(1 << i)) for i, s in enumerate(sides)]
+    rows = both[0].unionByName(both[1]).groupBy("__key", *columns).agg(F.bit_or("__side").alias("__side"))
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("diff"), F.col(c).alias("value")) for c in columns))).alias("x")
-    alone = (F.col("side") != 3).cast("int")
-    each = rows.select("k", "side", alone.alias("alone"), pairs).select("k", "side", "alone", "x.*")
-    values = each.groupBy("k", "diff", "value").agg(F.bit_or("side").alias("side"), F.max("alone").alias("alone"))
+    each = rows.select("__key", F.col("__side").alias("side"), (F.col("__side") != 3).cast("int").alias("alone"), pairs).select("__key", "side", "alone", "x.*")
+    values = each.groupBy("__key", "diff", "value").agg(F.bit_or("side").alias("side"), F.max("alone").alias("alone"))
     least = lambda side: F.min(F.when(F.col("side").bitwiseAND(F.lit(side)) != 0, F.col("value")))
-    told = values.groupBy("k", "diff").agg(F.max(alone).alias("apart"), (F.sum("alone") > 1).alias("varied"), least(1).alias("primary_value"), least(2).alias("mirror_value"))
-    some = told.groupBy("k").agg(F.max("apart").alias("any_apart"))
-    hit = told.join(some, "k").where("apart = 1 or (any_apart = 0 and varied)")
-    return hit.select(F.col("k").alias("row_key"), "diff", "primary_value", "mirror_value")
+    apart = F.max((F.col("side") != 3).cast("int"))
+    told = values.groupBy("__key", "diff").agg(apart.alias("apart"), (F.sum("alone") > 1).alias("varied"), least(1).alias("primary_value"), least(2).alias("mirror_value"))
+    some = told.groupBy("__key").agg(F.max("apart").alias("any_apart"))
+    hit = told.join(some, "__key").where("apart = 1 or (any_apart = 0 and varied)")
+    return hit.select(F.col("__key").alias("row_key"), "diff", "primary_value", "mirror_value")
 
 
 #: Marks a key whose rows are compared as sets; never in the result.
@@ -128,12 +128,12 @@ def _compare(columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
         return pa.table([pa.array(keys, pa.int64()), pa.array([diff] * n, pa.string()), empty if left is None else left, empty if right is None else right], schema=_OUT)
 
     def split(t: pa.Table) -> tuple[pa.Table, int]:
-        keyed = t.filter(pc.is_valid(t["k"])).sort_by("k")
+        keyed = t.filter(pc.is_valid(t["__key"])).sort_by("__key")
         return keyed, t.num_rows - keyed.num_rows
 
     def compare(primary: pa.Table, mirror: pa.Table) -> pa.Table:
         (a, a_null), (b, b_null) = split(primary), split(mirror)
-        ka, kb = a["k"].to_numpy(), b["k"].to_numpy()
+        ka, kb = a["__key"].to_numpy(), b["__key"].to_numpy()
         at, there = _aligned(ka, kb)
         _, back = _aligned(kb, ka)
         out = [rows(ka[~there], "missing_in_mirror"), rows(kb[~back], "missing_in_primary")]
@@ -141,14 +141,14 @@ def _compare(columns: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
             if n:  # nothing can be aligned with a null key
                 out.append(pa.table([pa.nulls(1, pa.int64()), pa.array([diff]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string())], schema=_OUT))
         left, right = a.filter(pa.array(there)), b.take(pa.array(at[there]))
-        single = ~(left["many"].to_numpy() | right["many"].to_numpy())
-        out.append(rows(left["k"].to_numpy()[~single], _MANY))
+        single = ~(left["__many"].to_numpy() | right["__many"].to_numpy())
+        out.append(rows(left["__key"].to_numpy()[~single], _MANY))
         for c in columns:
             bad = differs(left[c], right[c]) & single
             if bad.any():
                 mask = pa.array(bad)
                 hit = left.filter(mask)
-                out.append(rows(hit["k"].to_numpy(), c, hit[c].combine_chunks(), right.filter(mask)[c].combine_chunks()))
+                out.append(rows(hit["__key"].to_numpy(), c, hit[c].combine_chunks(), right.filter(mask)[c].combine_chunks()))
         return pa.concat_tables(x.cast(_OUT) for x in out)
 
     return compare
@@ -170,9 +170,9 @@ def table_diff(primary: DataFrame, mirror: DataFrame, key: str, columns: dict[st
     sides = [tidy(side, key, columns) for side in (primary, mirror)]
     rows = primary.count() + mirror.count()
     buckets = max(primary.sparkSession.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
-    bucketed = [one_per_key(s, names).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")).groupBy("bucket") for s in sides]
+    bucketed = [one_per_key(s, names).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int")).groupBy("__bucket") for s in sides]
     found = cut(bucketed[0].cogroup(bucketed[1]).applyInArrow(_compare(names), "row_key bigint, diff string, primary_value string, mirror_value string"), "diffs")
     many = found.where(F.col("diff") == _MANY)
     if many.isEmpty():
         return found
-    return found.where(F.col("diff") != _MANY).unionByName(_unlike_rows(sides, many.select(F.col("row_key").alias("k")), names))
+    return found.where(F.col("diff") != _MANY).unionByName(_unlike_rows(sides, many.select(F.col("row_key").alias("__key")), names))

@@ -124,3 +124,11 @@ def test_schemas_are_matched_to_a_fixpoint():
     import numpy as np
 
     assert np.allclose(drift.flood(g, 200, 1e-9), drift.flood(g, 400, 1e-9), atol=1e-6) and drift.flood(g).max() == 1
+
+
+def test_other_columns_may_have_any_names(spark):
+    names = ("signature", "p", "keys__", "name", "seen", "stride_key")
+    rows = [(i, "s", json.dumps({"stride": 8, "rowPitch": i}), *"abcdef") for i in range(3)]
+    df = spark.createDataFrame(rows, "file_id int, series string, body string, " + ", ".join(f"{n} string" for n in names))
+    got = drift.unified(df).collect()
+    assert len(got) == 3 and all(r["signature"] == "a" and r["p"] == "b" and r["stride_key"] == "stride" and r["stride"] == 8 for r in got)

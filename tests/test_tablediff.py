@@ -81,3 +81,12 @@ def test_many_keys_over_many_buckets(spark, monkeypatch):
     b = [(k, "p", str(k), k % 7 if k % 50 else -1, "") for k in range(100, 600)]
     want = [(k, "missing_in_mirror") for k in range(100)] + [(k, "missing_in_primary") for k in range(500, 600)] + [(k, "v") for k in range(100, 500, 50)]
     assert diff(spark, a, b) == sorted(want, key=repr)
+
+
+def test_columns_may_have_any_names(spark):
+    names = ("k", "many", "bucket", "side", "diff", "value", "alone", "row_key")
+    schema = "id bigint, " + ", ".join(f"{n} string" for n in names)
+    a = spark.createDataFrame([(1, *"abcdefgh"), (2, *"abcdefgh"), (2, *"xbcdefgh")], schema)
+    b = spark.createDataFrame([(1, *"abcdefgX"), (2, *"abcdefgh"), (2, *"xbcdefgY")], schema)
+    got = t.table_diff(a, b, "id", {n: t.as_is for n in names}).select("row_key", "diff").collect()
+    assert sorted(map(tuple, got)) == [(1, "row_key"), (2, "row_key")]
