@@ -117,7 +117,7 @@ def _exchange(x: Column, keep: int, by: int) -> Column:
 
 
 def transposed(df: DataFrame, mask: str, out: str) -> DataFrame:
-    """Rows become columns: blocks of 4, 2 and 1 cells change places across the diagonal."""
+    """Rows become columns, by the textbook method for bit matrices: blocks of 4, 2 and 1 cells change places across the diagonal."""
     x, at = F.col(mask), df
     for k in (4, 2, 1):
         at = at.withColumn(out, _exchange(x, places(lambda r, c, k=k: not r & k and bool(c & k)), (SIDE - 1) * k))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cellforge.functions import geometry as g, render, wide
 from cellforge.operators import drift, heavy, shapes as sh, tablediff
-from cellforge.session import cut, shared_dir, table
+from cellforge.session import cut, own_dir, table
 from cellforge.sources import packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,30 +160,40 @@ _NAMES = {
     "record_bytes": ("recordbytes", "bytesperrecord"),
     "stride": ("stride", "rowstride", "stridecells"),
 }
-_KEYS_SQL = f"""WITH ok AS (SELECT * FROM (SELECT file_id, series_id, written_at, trim(body, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS b FROM manifests) WHERE b <> '' AND json_valid(b)),
+_KEYS_SQL = f"""WITH ok AS (SELECT * FROM (SELECT *, trim(body, chr(65279) || ' ' || chr(9) || chr(10) || chr(13)) AS b FROM manifests) WHERE b <> '' AND json_valid(b)),
 leaf AS (SELECT file_id, replace(substr(j.fullkey, 3), '"', '') AS name, lower(regexp_replace(j.key, '[^A-Za-z]', '', 'g')) AS letters, CASE j.type WHEN 'DOUBLE' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'bool'
-    WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'int' END AS kind FROM ok, json_tree(ok.b) j WHERE j.key IS NOT NULL AND j.type <> 'NULL'),
-hit AS (SELECT file_id, name, kind, CASE {" ".join(f"WHEN letters IN {names} THEN '{field}'" for field, names in _NAMES.items())} END AS field_name FROM leaf),
+    WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'int' END AS kind, CASE j.type WHEN 'OBJECT' THEN j.value->>'$.name' WHEN 'ARRAY' THEN j.value->>'$[0]' ELSE j.value->>'$' END AS value
+    FROM ok, json_tree(ok.b) j WHERE j.key IS NOT NULL AND j.type <> 'NULL'),
+hit AS (SELECT file_id, name, kind, value, CASE {" ".join(f"WHEN letters IN {names} THEN '{field}'" for field, names in _NAMES.items())} END AS field_name FROM leaf),
 grid AS (SELECT ok.file_id, series_id, written_at, f.field_name FROM ok, (VALUES {", ".join(f"('{x}')" for x in _NAMES)}) f(field_name)),
 pair AS (SELECT g.*, name, kind, lag(name) OVER w AS name0, lag(kind) OVER w AS kind0, row_number() OVER w > 1 AS follows FROM grid g LEFT JOIN hit USING (file_id, field_name)
-    WINDOW w AS (PARTITION BY series_id, g.field_name ORDER BY written_at, file_id))
-SELECT file_id, field_name, change_kind FROM pair, (VALUES ('added'), ('removed'), ('renamed'), ('retyped')) k(change_kind) WHERE follows AND CASE change_kind WHEN 'added' THEN name0 IS NULL AND name IS NOT NULL
-    WHEN 'removed' THEN name0 IS NOT NULL AND name IS NULL WHEN 'renamed' THEN name0 <> name ELSE kind0 <> kind END"""
+    WINDOW w AS (PARTITION BY series_id, g.field_name ORDER BY written_at, file_id)),
+change AS (SELECT * FROM pair, (VALUES ('added'), ('removed'), ('renamed'), ('retyped')) k(change_kind) WHERE follows AND CASE change_kind WHEN 'added' THEN name0 IS NULL AND name IS NOT NULL
+    WHEN 'removed' THEN name0 IS NOT NULL AND name IS NULL WHEN 'renamed' THEN name0 <> name ELSE kind0 <> kind END)"""
 
 
-@query("p6_found", _KEYS_SQL)
+@query("p6_found", _KEYS_SQL + " SELECT file_id, field_name, change_kind FROM change")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = drift.changes(_manifest_table(spark, d), "series_id", ["written_at", "file_id"])
     return found.select("file_id", "field_name", "change_kind").distinct()
 
 
-@query("p6_table")
+def _held_sql(field: str) -> str:
+    value = f"max(value) FILTER (field_name = '{field}')"
+    cast = value if field == "encoding" else f"try_cast(try_cast(trim({value}) AS DOUBLE) AS INTEGER)"
+    return f"{cast} AS {field}, max(name) FILTER (field_name = '{field}') AS {field}_key, max(kind) FILTER (field_name = '{field}') AS {field}_kind"
+
+
+@query(
+    "p6_table",
+    _KEYS_SQL + f" SELECT ok.file_id, series_id, dataset_id, written_at, received_at, {', '.join(_held_sql(x) for x in _NAMES)} FROM ok LEFT JOIN hit USING (file_id) GROUP BY ALL",
+)
 def p6_table(spark: SparkSession, d: str) -> DataFrame:
     """All readable manifests in one table, the four fields in one type each."""
     return _manifest_table(spark, d)
 
 
-@query("p6_changes")
+@query("p6_changes", _KEYS_SQL + " SELECT series_id, written_at, file_id, field_name, change_kind, name0 AS key_before, name AS key_after, kind0 AS kind_before, kind AS kind_after FROM change")
 def p6_changes(spark: SparkSession, d: str) -> DataFrame:
     """Every change with the keys and types before and after."""
     return drift.changes(cut(_manifest_table(spark, d)), "series_id", ["written_at", "file_id"])
@@ -470,7 +480,9 @@ _PACKED_SQL = """WITH s AS (SELECT DISTINCT has_hole AS hole, max_dimension AS m
 def _packed(spark: SparkSession, d: str) -> str:
     """All logged masks by class, written as a packed dataset into the shared folder, which must be one that tasks can open as files; where it lies."""
     rows = table(spark, d, "shapes").select(F.col("has_hole").alias("hole"), F.col("max_dimension").alias("max_dim"), F.col("cells").alias("mask")).dropna().distinct()
-    root = f"{re.sub('^file:/+', '/', shared_dir(spark))}/packed-{uuid.uuid4().hex}"
+    root = f"{re.sub('^file:/+', '/', own_dir(spark))}/packed-{uuid.uuid4().hex}"
+    if not root.startswith("/"):
+        raise ValueError(f"{root} can't be opened as a folder of files")
     packed.write_dataset(cut(rows, "rows"), root, g.SIDE)
     return root
 

@@ -44,7 +44,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one."""
     return f"{shared_dir(spark)}/cellforge-{spark.sparkContext.applicationId}"
 
 
@@ -55,14 +56,14 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     later branches read columns instead of repeating the work. The tables stay until ``clear``.
     """
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> None:
     """Removes the intermediate tables of this application. Results that were read from them can't be read again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
