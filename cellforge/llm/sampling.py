@@ -155,8 +155,8 @@ def drawn(targets: DataFrame, records: DataFrame, p: Plan = Plan(), seed: int =
     counts = pool.groupBy(*p.category).agg(F.count(F.lit(1)).alias("available"))
     asked = needs(targets, p).join(counts, list(p.category), "left").withColumn("available", F.coalesce("available", F.lit(0)))
     # few bytes but some work a plan: a fixed number of partitions, which isn't coalesced
-    spread = asked.repartition(width(targets.sparkSession), p.plan)
-    raked = cut(spread.groupBy(p.plan).applyInPandas(_raked(p), _schema(asked, "raked double, weight double")), "raked")
+    by_plan = lambda df: df.repartition(width(targets.sparkSession), p.plan).groupBy(p.plan)
+    raked = cut(by_plan(asked).applyInPandas(_raked(p), _schema(asked, "raked double, weight double")), "raked")
 
     salts = 16
     at = [p.plan, *p.category]
@@ -175,7 +175,7 @@ def drawn(targets: DataFrame, records: DataFrame, p: Plan = Plan(), seed: int =
     before = F.sum("n").over(Window.partitionBy(p.plan).orderBy("slice").rangeBetween(Window.unboundedPreceding, -1))
     by_key = sliced.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < F.col("size")).groupBy(*at).agg(F.sum("n").alias("by_key"))
     held = raked.join(by_key, at, "left").withColumn("by_key", F.coalesce("by_key", F.lit(0)))
-    quotas = cut(held.groupBy(p.plan).applyInPandas(_quotas, _schema(held, "quota bigint")), "quotas")
+    quotas = cut(by_plan(held).applyInPandas(_quotas, _schema(held, "quota bigint")), "quotas")
 
     within = F.sum("n").over(Window.partitionBy(*at).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     asked_for = quotas.where("quota > 0 and weight > 0").select(*at, "weight", "quota")
