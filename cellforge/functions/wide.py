@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellforge.functions.geometry import settled
+
 
 def cells(record: Column, stride: Column) -> Column:
     """The cells as an array of (row, col), by place. Only set bits take room, whatever the record's width."""
@@ -44,17 +46,17 @@ def turned(df: DataFrame, array: str, stride: str) -> DataFrame:
     """Adds ``w``, ``h``, ``normal`` and ``canonical`` (the set bits of the shape moved to (0, 0) and of the least of its four turns, highest first), ``s90``, ``s180``,
     ``weight`` and ``max_dim``, at any width. A number is less than another if its bits, from the highest, come first to a lower one."""
     at = F.col(array)
-    boxed = df.withColumns({"w": extent(at, "col"), "h": extent(at, "row")})
+    boxed = settled(df).withColumns({"w": extent(at, "col"), "h": extent(at, "row")})
     low_row, low_col = F.array_min(F.transform(at, lambda x: x["row"])), F.array_min(F.transform(at, lambda x: x["col"]))
-    placed = boxed.withColumns({"__r": low_row, "__c": low_col})
-    settled = placed.withColumn("__at", F.transform(at, lambda x: F.struct((x["row"] - F.col("__r")).alias("row"), (x["col"] - F.col("__c")).alias("col"))))
+    placed = settled(boxed.withColumns({"__r": low_row, "__c": low_col}))
+    moved = settled(placed.withColumn("__at", F.transform(at, lambda x: F.struct((x["row"] - F.col("__r")).alias("row"), (x["col"] - F.col("__c")).alias("col")))))
     w, h = F.col("w"), F.col("h")
     ways = (lambda x: (x["row"], x["col"]), lambda x: (x["col"], h - 1 - x["row"]), lambda x: (h - 1 - x["row"], w - 1 - x["col"]), lambda x: (w - 1 - x["col"], x["row"]))
 
     def bits(way: Callable[[Column], tuple[Column, Column]]) -> Column:
         return F.sort_array(F.transform("__at", lambda x: (way(x)[0] * F.col(stride) + way(x)[1]).cast("int")), asc=False)
 
-    made = settled.withColumns({f"__b{i}": bits(way) for i, way in enumerate(ways)})
+    made = settled(moved.withColumns({f"__b{i}": bits(way) for i, way in enumerate(ways)}))
     known = F.size(at) > 0
     return made.withColumns(
         {
