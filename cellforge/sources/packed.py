@@ -439,7 +439,7 @@ def write_rooms(rooms: DataFrame, root: str, label: str) -> dict:
             f.write((r["mask"] & (2**64 - 1)).to_bytes(8, "little"))
             listed.append({k: r[k] for k in ("selection_order", "global_index", "width", "height", "size", "hole")})
             n, cells, holes = n + 1, cells + r["size"], holes + bool(r["hole"])
-    body = {"label": label, "count": n, "avg_size": round(cells / n, 1) if n else 0, "holes_count": holes, "format": "rooms.bin: u64 LE bitmask \u00d7 count, stride=8, top-left aligned", "rooms": listed}
+    body = {"label": label, "count": n, "avg_size": round(cells / n, 1) if n else 0, "holes_count": holes, "format": "rooms.bin has one little-endian 64-bit mask of stride 8 for each room", "rooms": listed}
     with open(os.path.join(root, "rooms.json"), "w", encoding="utf-8") as f:
         json.dump(body, f, ensure_ascii=False, indent=2)
     return body
