@@ -202,11 +202,11 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return pii.find(documents, pii.fitted(documents)).select("doc_id", "pii_type", "pii_text").distinct()
+    return pii.detected(documents).select("doc_id", "pii_type", "pii_text").distinct()
 
 
 @query("p9_redacted")
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Every document's text with placeholders."""
     documents = table(spark, d, "documents")
-    return pii.redact(documents, pii.fitted(documents))
+    return pii.detected(documents, redact=True)

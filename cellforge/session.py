@@ -61,10 +61,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Removes an intermediate table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Removes the intermediate tables of this application. Results that were read from them can't be read again."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, own_dir(spark))
 
 
 def width(spark: SparkSession) -> int:
